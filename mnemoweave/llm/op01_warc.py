@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ._common import Scratch, table
 
@@ -214,19 +216,17 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple]:
 
 
 def splits(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    ranges = F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes)))
-    return manifest.where("bytes > 0").select("path", "bytes", ranges.cast("long").alias("from"))
+    step = F.lit(split_bytes).cast("long")
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step))
+    return manifest.where("bytes > 0").select("path", "bytes", ranges.alias("from"))
 
 
 def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of the files in ``manifest(path, bytes)``; see ``RECORDS``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = to_arrow_schema(_parse_datatype_string(RECORDS))
+    schema = to_arrow_schema(_parse_datatype_string(RECORDS))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
             cols = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

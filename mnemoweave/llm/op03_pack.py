@@ -294,7 +294,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, island_p
              "island": "long", "bin": "long", "offset": "long", "pattern": "array<long>"}
     schema = ", ".join(f"{k} {v}" for k, v in empty.items())
 
-    def found(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def found(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bins = evolve(pdf["length"].tolist(), capacity, int(key[0]))
         out = _place(pdf, bins).assign(pattern=None)
         elite = sorted(set(map(lambda b: tuple(sorted(b, reverse=True)), well_filled(bins, capacity))), key=lambda b: (-sum(b), len(b), b))
@@ -308,7 +308,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, island_p
         "island", F.when(F.col("pattern").isNotNull(), (F.col("island") + 1) % islands).otherwise(F.col("island"))
     )
 
-    def settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["spread"].notna()].copy()
         if mine.empty:
             return pd.DataFrame({c: pd.Series(dtype="Int64") for c in (*cols, "sequence_id", "offset")})

@@ -49,11 +49,11 @@ def shingles(w: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if len(few):
         short = []
         for i in few.tolist():
-            x = np.uint64(w.count[i])
+            x = np.array([w.count[i]], np.uint64)
             for y in w.hash[w.first[i] : w.first[i + 1]]:
-                x = mix(np.array([x * _GOLDEN ^ y]))[0]
+                x = mix(x * _GOLDEN ^ y)
             short.append(x)
-        of, h = np.r_[of, few], np.r_[h, np.array(short, np.uint64)]
+        of, h = np.r_[of, few], np.concatenate([h, *short])
     order = np.lexsort((h, of))
     of, h = of[order], h[order]
     first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, int)

@@ -27,6 +27,8 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
+#: A combination seen in fewer labelled urls than this is no evidence at any support.
+MIN_COUNT = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,17 +65,16 @@ def fixed_rule(host, path, rules=RULES):
 
 
 def url_tokens(host, path, query, fragment):
-    """Distinct tokens: domain labels with their place, path words, parameters."""
-    labels = F.reverse(F.split(host, r"\.", -1))
-    hosts = F.transform(labels, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit("="), x))
-    words = F.transform(F.split(host, r"[.-]", -1), lambda x: F.concat(F.lit("hostword="), x))
+    """Distinct tokens: words of the host, path parts without digits, how the
+    path ends, parameters, fragment."""
+    words = F.transform(F.split(host, r"[.-]", -1), lambda x: F.concat(F.lit("host="), x))
     parts = F.transform(
         F.filter(F.split(path, "/", -1), lambda x: (x != "") & ~x.rlike("[0-9]")), lambda x: F.concat(F.lit("path="), x)
     )
     ends = F.array(F.concat(F.lit("end="), F.regexp_extract(path, r"(\.[A-Za-z]+|/)$", 1)))
     params = F.transform(F.split(query, "&", -1), lambda x: F.concat(F.lit("param="), x))
     frag = F.array(F.concat(F.lit("fragment="), fragment))
-    every = F.concat(hosts, words, parts, ends, params, frag)
+    every = F.concat(words, parts, ends, params, frag)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.filter(every, lambda x: ~x.endswith("=")))
     )
@@ -81,7 +82,7 @@ def url_tokens(host, path, query, fragment):
 
 def mine(
     labelled: DataFrame, min_support: float = MIN_SUPPORT,
-    min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
+    min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT,
 ) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support, key) from ``labelled(tokens, verdict)``.
 
@@ -90,7 +91,8 @@ def mine(
     number is bounded by the support, not by the input.
     """
     items = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    support = min(1.0, max(min_support, min_count / max(1, items.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = (
         model.associationRules.where(F.element_at("consequent", 1).startswith("verdict="))
         .where((F.col("lift") >= min_lift) & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
