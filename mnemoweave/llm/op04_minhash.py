@@ -8,8 +8,10 @@ Two texts agree in a register with their probability Jaccard similarity.
 
 Registers are banded.  In a bucket each text is compared with the smallest only
 (so a group of thousands makes no pairs within itself); what is linked is one
-component, and only buckets that still hold several components compare across
-these.  Every comparison computes the probability Jaccard of the whole texts.
+component; the texts of buckets that still hold several components are paired
+by their rarest shingles, first with the most central text of a family, then with
+all that an upper bound of the similarity leaves.  Every comparison computes the
+probability Jaccard of the whole texts.
 
 Cases: equal texts are one class from the start; a null text is a class of its
 own; a text of one to four words has one shingle of all its words; a text
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, table
@@ -35,6 +37,8 @@ WORDS = 5
 MIN_SIMILARITY = 0.8
 #: A pair at the threshold misses all 42 bands of 7 with a chance of 5e-5.
 BANDS, ROWS = 42, 7
+#: Rounds of comparing with central texts before all remaining pairs are compared.
+CENTRAL_ROUNDS = 2
 _TEXTS = 1000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,8 +155,81 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def weighted_shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(node, shingle, weight, total) of ``texts(node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, _TEXTS):
+                p = b.slice(at, _TEXTS)
+                of, h, weight = shingles(Words(_texts(p.column(1))), n)
+                total = np.bincount(of, weights=weight, minlength=p.num_rows)
+                node = p.column(0).to_numpy()[of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (node, h.view(np.int64), weight, total[of])], names=["node", "shingle", "weight", "total"]
+                )
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingle long, weight double, total double")
+
+
+def leading_shingles(parts: DataFrame, least: float) -> DataFrame:
+    """(shingle, node, g): of each text the shingles that a partner may have first.
+
+    Let u be the weight share of a text's shingles that no other text has, and
+    g = u / (1 - u).  Two texts whose own shares outside what they have in
+    common are u and v are at most 1 / (1 + g(u) + g(v)) similar.  So, with
+    shingles in one order, rarest first, the first common one stands where at
+    most 1 - least of each text's weight comes before it.
+    """
+    often = parts.groupBy("shingle").agg(F.count("*").alias("n"))
+    node = Window.partitionBy("node")
+    before = F.coalesce(F.sum("weight").over(node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    own = F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0.0)).over(node) / F.col("total")
+    return (
+        parts.join(often, "shingle").withColumns({"before": before, "own": own})
+        .where((F.col("before") <= (1 - least + 1e-9) * F.col("total")) & (F.col("n") > 1) & (F.col("own") <= 1 - least + 1e-9))
+        .select("shingle", "node", (F.col("own") / (1 - F.col("own"))).alias("g"))
+    )
+
+
+def _reachable(g, other, least: float):
+    return g + other <= 1 / least - 1 + 1e-9
+
+
+def central_pairs(leading: DataFrame, placed: DataFrame, least: float, most: int = 4) -> DataFrame:
+    """Each text with the texts of least own weight in another component.
+
+    If a text is similar to any of a family, it most likely is to the family's
+    most central members.  Of a shingle's texts the most central one and the
+    most central of any other component stand for all; at most ``most`` are
+    tried for a text here, the rest later.
+    """
+    keyed = leading.join(placed, "node")
+    one = keyed.groupBy("shingle").agg(F.min(F.struct("g", "node", "c")).alias("m"))
+    two = keyed.join(one, "shingle").where(F.col("c") != F.col("m.c")).groupBy("shingle").agg(
+        F.min("m").alias("m"), F.min(F.struct("g", "node", "c")).alias("m2")
+    )
+    met = F.when(F.col("c") != F.col("m.c"), F.col("m")).otherwise(F.col("m2"))
+    pairs = keyed.join(two, "shingle").withColumn("t", met).where(_reachable(F.col("g"), F.col("t.g"), least))
+    pairs = pairs.groupBy("node", F.col("t.node").alias("a")).agg(F.min("t.g").alias("ga"))
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("ga", "a"))).where(F.col("r") <= most)
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def remaining_pairs(leading: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) in different components of ``placed(node, c)`` that can reach ``least``."""
+    keyed = leading.join(placed, "node")
+    limits = keyed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("g").alias("g0")).where("x < y")
+    keyed = keyed.join(limits.select("shingle", "g0"), "shingle").where(_reachable(F.col("g"), F.col("g0"), least))
+    other = keyed.select("shingle", F.col("node").alias("b"), F.col("c").alias("d"), F.col("g").alias("h"))
+    left = keyed.select("shingle", F.col("node").alias("a"), "c", "g")
+    met = left.join(other, (left["shingle"] == other["shingle"]) & F.expr("a < b AND c <> d") & _reachable(F.col("g"), F.col("h"), least))
+    return met.select("a", "b").distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, scratch: Scratch, n: int = WORDS, least: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, scratch: Scratch, n: int = WORDS, least: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+    rounds: int = CENTRAL_ROUNDS,
 ) -> DataFrame:
     """(doc_id, digest, class_id) for ``docs(doc_id, text)``, a row for each row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -176,22 +253,31 @@ def near_duplicates(
     stars = scratch.write(stars.select("a", "b"), "stars")
     linked = scratch.write(verified(stars, texts, n, least), "linked")
     comp = scratch.write(components(linked, scratch, "c"), "joined")
-    # then all pairs of a bucket that are still in different components
+    # then the texts of buckets that still hold different components
     placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    placed = scratch.write(placed.join(mixed, "key"), "placed")
-    other = placed.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-    across = (
-        placed.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    # candidates whose signatures cannot reach the threshold were never in a common bucket
+    open_ = scratch.write(placed.join(mixed, "key").select("node", "c").distinct(), "open")
+    parts = scratch.write(weighted_shingles(texts.join(open_, "node"), n), "parts")
+    leading = scratch.write(leading_shingles(parts, least), "leading")
+    scratch.drop("parts", "members")
+    tested, placed = stars, open_
+    for k in range(rounds):
+        central = central_pairs(leading, placed, least).join(tested, ["a", "b"], "left_anti")
+        central = scratch.write(central, f"central{k}")
+        tested = tested.unionByName(central)
+        near = scratch.write(verified(central, texts, n, least), f"near{k}")
+        linked = linked.unionByName(near)
+        comp = scratch.write(components(linked, scratch, f"r{k}"), f"rejoined{k}")
+        placed = open_.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+        if near.isEmpty():
+            break
+    across = scratch.write(remaining_pairs(leading, placed, least).join(tested, ["a", "b"], "left_anti"), "across")
     more = scratch.write(verified(across, texts, n, least), "more")
     # rows of one id are one document, whatever their texts
     same_id = usable.join(nodes.select("digest", "node"), "digest").where("doc_id <> node").groupBy("doc_id").agg(
         F.min("node").alias("node"), F.max("node").alias("m")
     ).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    comp = components(linked.unionByName(more).unionByName(same_id), scratch, "d")
+    comp = components(linked.unionByName(more).unionByName(same_id), scratch, "e")
     classes = nodes.select("digest", "node").join(comp, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("class_id")
     )
