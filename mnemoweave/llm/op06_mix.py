@@ -113,9 +113,10 @@ def taken(size, key, partial: bool = True):
     return (F.col("whole") * size + F.coalesce(more, F.lit(0).cast("long"))).cast("long")
 
 
-def mix(slim: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, partial: bool = True) -> DataFrame:
+def mix(slim: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, partial: bool = True) -> DataFrame:
     """``slim`` (source, size, key and any others) with source_size, target, taken."""
-    plan = mix_plan(slim, weights, max_epochs).withColumnRenamed("source", "s")
+    # written, so that its size is known and a small plan is broadcast, a large one joined
+    plan = scratch.write(mix_plan(slim, weights, max_epochs).withColumnRenamed("source", "s"), "plan")
     rest = slim.drop("source_size", "target", "taken", "whole", "cut_key", "cut_words", "cut_size")
     both = rest.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return both.withColumn("taken", taken(F.col("size"), F.col("key"), partial)).drop(
@@ -126,8 +127,8 @@ def mix(slim: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, partial:
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), sample_key(SEED, "doc_id").alias("key"))
-    slim = Scratch(spark, "op6").write(slim, "slim")
-    return mix(slim).select("doc_id", "size", "source_size", "target", "taken")
+    scratch = Scratch(spark, "op6")
+    return mix(scratch.write(slim, "slim"), scratch).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -139,8 +140,9 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("source"), n_words(F.col("text")).alias("size"), sample_key(SEED, "doc_id").alias("key"),
     )
-    slim = Scratch(spark, "mix").write(sized.drop("row"), "slim")
-    plan = mix_plan(slim).withColumnRenamed("source", "s")
+    scratch = Scratch(spark, "mix")
+    slim = scratch.write(sized.drop("row"), "slim")
+    plan = scratch.write(mix_plan(slim).withColumnRenamed("source", "s"), "plan")
     mixed = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
     times = F.try_divide(taken(F.col("size"), F.col("key"), partial=False), F.col("size"))
     repeated = mixed.withColumn("times", F.coalesce(times, F.lit(0)).cast("int")).where("times > 0")
