@@ -43,13 +43,20 @@ def training_sample(
 
     At most ``max_docs`` documents a language, chosen by a hash of the text (so
     neither order nor partitioning matters), each cut to ``max_chars``
-    characters.  Only this sample reaches the driver.
+    characters.  Only this sample reaches the driver; the broadcast counts are
+    one row a language.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"),
         F.lower(F.substring(F.col(text), 1, max_chars)).alias("piece"),
         F.xxhash64(F.col(text)).alias("h"),
     )
+    # a share of the hash range that holds about four times the sample, by language, keeps
+    # what the window reads bounded however many partitions there are
+    n = rows.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("rows"))
+    share = F.greatest(F.lit(1.0) - F.lit(4.0 * max_docs) / F.col("rows"), F.lit(0.0))
+    place = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(F.broadcast(n), F.col("lang") == F.col("l")).where(place >= share).drop("l", "rows")
     w = Window.partitionBy("lang").orderBy("h", "piece")
     kept = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_docs)
     found: dict[str, list[tuple[int, str]]] = {}
