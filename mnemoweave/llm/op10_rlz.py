@@ -240,8 +240,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         found.join(refs, "anchor").where("doc_id > low")
         .groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "windows")).alias("entries"))
     )
-    state = scratch.write(parse(docs, entries, window, gram), "state")
+    entries = scratch.write(entries, "entries")
     scratch.drop("anchors", "shared", "reference")
+    state = scratch.write(parse(docs, entries, window, gram), "state")
+    scratch.drop("entries")
     decided = state.where("kept_sha256 IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256")
     left = state.where("kept_sha256 IS NULL")
     open_ = left.select(
