@@ -387,9 +387,9 @@ def _memories(spark, d):
     return memory.fold(S.memory_log(spark, d))
 
 
-@query(f"WITH {_LOG} SELECT mem_key, status, kind, round(trust, 6) AS trust, round(strength, 6) AS strength, updated_at, last_seen FROM mem")
+@query(f"WITH {_LOG} SELECT mem_key, status, kind, round(trust, 6) AS trust, round(strength, 6) AS strength, updated_at, coalesce(last_seen, -1) AS last_seen FROM mem")
 def memory_upsert_state(spark, d):
-    return _memories(spark, d).withColumns(_r("trust", "strength")).select("mem_key", "status", "kind", "trust", "strength", "updated_at", "last_seen")
+    return _memories(spark, d).withColumns(_r("trust", "strength")).select("mem_key", "status", "kind", "trust", "strength", "updated_at", F.coalesce("last_seen", F.lit(-1)).alias("last_seen"))
 
 
 @query(f"""WITH {_LOG}, f AS (SELECT * FROM mem WHERE status = 'active' ORDER BY updated_at DESC, mem_key LIMIT 160),
@@ -400,17 +400,17 @@ def memory_query(spark, d):
 
 
 @query(f"""WITH {_LOG} SELECT mem_key, round(CASE WHEN status = 'active' AND mem_key LIKE '%click' THEN least(1, {_EFF} + 0.1) ELSE strength END, 6) AS strength,
-CASE WHEN status = 'active' AND mem_key LIKE '%click' THEN {NOW} ELSE last_seen END AS last_seen FROM mem""")
+CASE WHEN status = 'active' AND mem_key LIKE '%click' THEN {NOW} ELSE coalesce(last_seen, -1) END AS last_seen FROM mem""")
 def memory_mark_used(spark, d):
     m = _memories(spark, d)
     keys = S.memory_log(spark, d).where("mem_key LIKE '%click'").select("mem_key")
-    return memory.mark_used(m, keys, NOW).select("mem_key", F.round("strength", 6).alias("strength"), "last_seen")
+    return memory.mark_used(m, keys, NOW).select("mem_key", F.round("strength", 6).alias("strength"), F.coalesce("last_seen", F.lit(-1)).alias("last_seen"))
 
 
-@query(f"""WITH {_LOG} SELECT mem_key, CASE WHEN status = 'active' AND mem_key LIKE '%view' THEN {NOW}::BIGINT END AS last_retrieved FROM mem""")
+@query(f"""WITH {_LOG} SELECT mem_key, CASE WHEN status = 'active' AND mem_key LIKE '%view' THEN {NOW}::BIGINT ELSE -1 END AS last_retrieved FROM mem""")
 def memory_mark_retrieved(spark, d):
     keys = S.memory_log(spark, d).where("mem_key LIKE '%view'").select("mem_key")
-    return memory.mark_retrieved(_memories(spark, d), keys, NOW).select("mem_key", "last_retrieved")
+    return memory.mark_retrieved(_memories(spark, d), keys, NOW).select("mem_key", F.coalesce("last_retrieved", F.lit(-1)).alias("last_retrieved"))
 
 
 @query(f"""WITH {_LOG} SELECT mem_key, coalesce(status = 'active' AND {NOW} - last_seen >= 86400 * CASE kind WHEN 'fact' THEN 30 WHEN 'task' THEN 7 ELSE 14 END, false) AS purged FROM mem""")
@@ -434,16 +434,17 @@ def decision_validation(spark, d):
 
 
 @query("""WITH ph AS (SELECT p_partkey AS id, p_name AS name, p_partkey % 50 = 0 AS is_hub FROM part),
-t AS (SELECT DISTINCT c_custkey AS node_id, CASE WHEN c_custkey % 3 = 0 THEN lower(p_name) ELSE lower(substr(p_name, 1, 5)) END AS term FROM customer JOIN part ON p_partkey = c_custkey % 100 + 1),
+t AS (SELECT DISTINCT c_custkey AS node_id, CASE WHEN c_custkey % 3 = 0 THEN trim(lower(p_name)) ELSE trim(lower(substr(p_name, 1, 5))) END AS term FROM customer JOIN part ON p_partkey = c_custkey % 100 + 1),
 u AS (SELECT * FROM t WHERE length(term) BETWEEN 2 AND 64 AND regexp_matches(term, '\\p{L}'))
 SELECT node_id, term, coalesce((SELECT min(id) FROM ph WHERE lower(name) = term),
- CASE WHEN length(term) >= 4 THEN (SELECT arg_min(id, (length(name), id)) FROM ph WHERE is_hub AND contains(lower(name), term)) END) AS phrase_id FROM u""")
+ CASE WHEN length(term) >= 4 THEN (SELECT arg_min(id, (length(name), id)) FROM ph WHERE is_hub AND contains(lower(name), term)) END, -1) AS phrase_id FROM u""")
 def entity_links(spark, d):
     part = S.read(spark, d, "part")
     terms = S.read(spark, d, "customer").join(part, F.col("p_partkey") == F.col("c_custkey") % 100 + 1).select(
         F.col("c_custkey").alias("node_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("p_name")).otherwise(F.substring("p_name", 1, 5)).alias("term")
     )
-    return memory.link_entities(terms, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 50 == 0).alias("is_hub")))
+    found = memory.link_entities(terms, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 50 == 0).alias("is_hub")))
+    return found.withColumn("phrase_id", F.coalesce("phrase_id", F.lit(-1)))
 
 
 # ---- fusion --------------------------------------------------------------------
