@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def words(text):
@@ -32,7 +33,7 @@ def chunks(text, size: int):
     return F.aggregate(words(text), start, add, end)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(s: pd.Series) -> pd.Series:
     """NFKC, controls to blanks, white space collapsed, case folded."""
     def one(x):
