@@ -478,10 +478,10 @@ def logit_postprocess(spark, d):
 @query(f"""WITH {_CANDS}, s AS (SELECT *, CASE WHEN count(*) OVER w <= 1 THEN 1.0 ELSE 1.0::DOUBLE - (row_number() OVER (PARTITION BY query_id ORDER BY ppr_rank, passage_id) - 1) / (count(*) OVER w - 1)::DOUBLE END AS place,
  min(CASE WHEN ok THEN logit END) OVER w AS lo, max(CASE WHEN ok THEN logit END) OVER w AS hi FROM p WINDOW w AS (PARTITION BY query_id)),
 f AS (SELECT *, CASE WHEN ok THEN 0.7::DOUBLE * place + 0.3::DOUBLE * CASE WHEN hi - lo < 1e-9 THEN 1 ELSE (logit - lo) / (hi - lo) END END AS fused FROM s)
-SELECT query_id, passage_id, round(fused, 6) AS fused FROM f""")
+SELECT query_id, passage_id, round(fused, 9) AS fused FROM f""")
 def fusion_weighted_sum(spark, d):
     out = fusion.weighted_sum(fusion.postprocess(fusion.dedup(_candidates(spark, d))))
-    return out.select("query_id", "passage_id", F.when(F.col("rerank_valid"), F.round("fused", 6)).alias("fused"))
+    return out.select("query_id", "passage_id", F.when(F.col("rerank_valid"), F.round("fused", 9)).alias("fused"))
 
 
 @query(f"""WITH {_CANDS}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ok DESC, CASE WHEN ok THEN logit END DESC, ppr_rank, passage_id) AS rr FROM p)
@@ -494,11 +494,11 @@ def fusion_rrf(spark, d):
 # ---- sessions and evaluation -----------------------------------------------------
 
 def _turns(spark, d):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{3,})"), F.lit(1)))
     return S.read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", found.alias("entities"))
 
 
-_T = r"t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]{3,})\b', 1)) AS e FROM conversations)"
+_T = r"t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, list_distinct(regexp_extract_all(text, '([A-Z][a-z]{3,})', 1)) AS e FROM conversations)"
 
 
 @query(f"WITH {_T} SELECT session_id, max(turn) AS turn, len(arg_max(e, turn)) AS n FROM t GROUP BY 1")
@@ -555,7 +555,7 @@ def streaming_sessions(spark, d):
     from uuid import uuid4
 
     def pick(s):
-        found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1)))
+        found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{3,})"), F.lit(1)))
         return state.session_contexts(s.select(F.col("conv_id").cast("string").alias("session_id"), "turn", found.alias("entities")))
 
     stream, at = _stream(spark, d, "conversations", pick)
