@@ -9,9 +9,10 @@ Two texts agree in a register with their probability Jaccard similarity.
 Registers are banded.  In a bucket each text is compared with the smallest only
 (so a group of thousands makes no pairs within itself); what is linked is one
 component; the texts of buckets that still hold several components are paired
-by their rarest shingles, first with the most central text of a family, then with
-all that an upper bound of the similarity leaves.  Every comparison computes the
-probability Jaccard of the whole texts.
+by their rarest shingles: first with the most central text of a family, then with
+those the registers estimate to be similar, at last with all in other components
+that an upper bound of the similarity and the estimate's error leave.
+Every comparison computes the probability Jaccard of the whole texts.
 
 Cases: equal texts are one class from the start; a null text is a class of its
 own; a text of one to four words has one shingle of all its words; a text
@@ -23,6 +24,7 @@ extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,13 @@ MIN_SIMILARITY = 0.8
 #: A pair at the threshold misses all 42 bands of 7 with a chance of 5e-5.
 BANDS, ROWS = 42, 7
 #: Rounds of comparing with central texts before all remaining pairs are compared.
-CENTRAL_ROUNDS = 2
+CENTRAL_ROUNDS = 1
+#: Bits kept of a register in a text's sketch, and how many standard deviations
+#: below the threshold the share of agreeing registers may lie: a pair at the
+#: threshold lies lower with a chance of 3e-5, like that of missing all bands.
+SKETCH_BITS, DEVIATIONS = 4, 4.0
+#: So many shingles before a leading one are looked at for an earlier meeting.
+EARLIER = 16
 _TEXTS = 1000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,6 +103,22 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((mix(signature) * place).reshape(-1, bands, rows).sum(axis=2, dtype=np.uint64))
 
 
+def bit_planes(signature: np.ndarray) -> np.ndarray:
+    """Few bits of each register, as 64-bit words: (texts, words x bits), a word's planes together."""
+    texts, registers = signature.shape
+    words = -(-registers // 64)
+    low = np.zeros((texts, words * 64), np.uint8)
+    low[:, :registers] = mix(signature) & np.uint64((1 << SKETCH_BITS) - 1)
+    planes = (low.reshape(texts, words, 1, 64) >> np.arange(SKETCH_BITS, dtype=np.uint8)[:, None]) & 1
+    return np.packbits(planes, axis=-1, bitorder="little").view(np.int64).reshape(texts, words * SKETCH_BITS)
+
+
+def least_agreeing(registers: int, least: float, deviations: float) -> float:
+    """So many registers of two texts agree in their bits if the texts are ``least`` similar, less some deviations."""
+    p = least + (1 - least) / (1 << SKETCH_BITS)
+    return registers * p - deviations * np.sqrt(registers * p * (1 - p))
+
+
 def probability_jaccard(xa, wa, xb, wb) -> float:
     """Exactly, from sorted distinct shingles and weights, by sorting weight ratios."""
     every = np.union1d(xa, xb)
@@ -117,7 +141,7 @@ def _texts(col: pa.Array) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, keys) of ``docs(doc_id, text)``; keys are null without words."""
+    """(doc_id, digest, keys, sketch) of ``docs(doc_id, text)``; keys are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,10 +153,12 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     pa.array(np.arange(p.num_rows + 1) * bands, pa.int32()), pa.array(band_keys(sig, bands, rows).view(np.int64).ravel()),
                     mask=pa.array(w.count == 0),
                 )
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), keys], names=["doc_id", "digest", "keys"])
+                planes = bit_planes(sig)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(p.num_rows + 1) * planes.shape[1], pa.int32()), pa.array(planes.ravel()))
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), keys, sketch], names=["doc_id", "digest", "keys", "sketch"])
 
     rows_ = docs.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    return rows_.mapInArrow(run, "doc_id long, digest string, keys array<long>")
+    return rows_.mapInArrow(run, "doc_id long, digest string, keys array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
@@ -173,22 +199,27 @@ def weighted_shingles(texts: DataFrame, n: int) -> DataFrame:
 
 
 def leading_shingles(parts: DataFrame, least: float) -> DataFrame:
-    """(shingle, node, g): of each text the shingles that a partner may have first.
+    """(shingle, node, g, gb, earlier): of each text the shingles that a partner may have first.
 
     Let u be the weight share of a text's shingles that no other text has, and
     g = u / (1 - u).  Two texts whose own shares outside what they have in
     common are u and v are at most 1 / (1 + g(u) + g(v)) similar.  So, with
     shingles in one order, rarest first, the first common one stands where at
-    most 1 - least of each text's weight comes before it.
+    most 1 - least of each text's weight comes before it; and what comes before
+    it in either text (its share as gb) is not common.  ``earlier`` holds the
+    few leading shingles before: two texts that share one of them meet there.
     """
     often = parts.groupBy("shingle").agg(F.count("*").alias("n"))
     node = Window.partitionBy("node")
     before = F.coalesce(F.sum("weight").over(node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     own = F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0.0)).over(node) / F.col("total")
-    return (
-        parts.join(often, "shingle").withColumns({"before": before, "own": own})
-        .where((F.col("before") <= (1 - least + 1e-9) * F.col("total")) & (F.col("n") > 1) & (F.col("own") <= 1 - least + 1e-9))
-        .select("shingle", "node", (F.col("own") / (1 - F.col("own"))).alias("g"))
+    leading = parts.join(often, "shingle").withColumns({"before": before, "own": own}).where(
+        (F.col("before") <= (1 - least + 1e-9) * F.col("total")) & (F.col("n") > 1) & (F.col("own") <= 1 - least + 1e-9)
+    )
+    return leading.select(
+        "shingle", "node", (F.col("own") / (1 - F.col("own"))).alias("g"),
+        (F.col("before") / (F.col("total") - F.col("before"))).alias("gb"),
+        F.collect_list("shingle").over(node.orderBy("n", "shingle").rowsBetween(-EARLIER, -1)).alias("earlier"),
     )
 
 
@@ -196,6 +227,16 @@ def _reachable(g, other, least: float):
     return g + other <= 1 / least - 1 + 1e-9
 
 
+def _agreeing(x, y, registers: int):
+    """In how many registers two sketches agree."""
+    words = -(-registers // 64)
+    differ = [
+        reduce(lambda a, b: a.bitwiseOR(b), [x[w * SKETCH_BITS + k].bitwiseXOR(y[w * SKETCH_BITS + k]) for k in range(SKETCH_BITS)])
+        for w in range(words)
+    ]
+    return F.lit(registers) - reduce(lambda a, b: a + b, [F.bit_count(d) for d in differ])
+
+
 def central_pairs(leading: DataFrame, placed: DataFrame, least: float, most: int = 4) -> DataFrame:
     """Each text with the texts of least own weight in another component.
 
@@ -216,14 +257,18 @@ def central_pairs(leading: DataFrame, placed: DataFrame, least: float, most: int
     return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def remaining_pairs(leading: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) in different components of ``placed(node, c)`` that can reach ``least``."""
-    keyed = leading.join(placed, "node")
+def remaining_pairs(leading: DataFrame, placed: DataFrame, least: float, registers: int, deviations: float) -> DataFrame:
+    """All pairs (a, b) in different components of ``placed(node, c, sketch)`` that can reach ``least``."""
+    keyed = leading.drop("g").withColumnRenamed("gb", "g").join(placed, "node")
     limits = keyed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("g").alias("g0")).where("x < y")
     keyed = keyed.join(limits.select("shingle", "g0"), "shingle").where(_reachable(F.col("g"), F.col("g0"), least))
-    other = keyed.select("shingle", F.col("node").alias("b"), F.col("c").alias("d"), F.col("g").alias("h"))
-    left = keyed.select("shingle", F.col("node").alias("a"), "c", "g")
-    met = left.join(other, (left["shingle"] == other["shingle"]) & F.expr("a < b AND c <> d") & _reachable(F.col("g"), F.col("h"), least))
+    other = keyed.select("shingle", F.col("node").alias("b"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("sketch").alias("other"), F.col("earlier").alias("sooner"))
+    left = keyed.select("shingle", F.col("node").alias("a"), "c", "g", "sketch", "earlier")
+    alike = _agreeing(F.col("sketch"), F.col("other"), registers) >= F.lit(least_agreeing(registers, least, deviations))
+    met = left.join(
+        other, (left["shingle"] == other["shingle"]) & F.expr("a < b AND c <> d") & _reachable(F.col("g"), F.col("h"), least) & alike
+        & ~F.arrays_overlap("earlier", "sooner")
+    )
     return met.select("a", "b").distinct()
 
 
@@ -237,7 +282,8 @@ def near_duplicates(
     usable = marked.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     # equal texts are one node, named by their smallest id
     nodes = scratch.write(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")), "nodes"
+        usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")),
+        "nodes",
     )
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
@@ -271,8 +317,15 @@ def near_duplicates(
         placed = open_.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
         if near.isEmpty():
             break
-    across = scratch.write(remaining_pairs(leading, placed, least).join(tested, ["a", "b"], "left_anti"), "across")
-    more = scratch.write(verified(across, texts, n, least), "more")
+    sketched = scratch.write(nodes.join(open_, "node", "left_semi").select("node", "sketch"), "sketched")
+    likely = remaining_pairs(leading, placed.join(sketched, "node"), least, bands * rows, 0.0).join(tested, ["a", "b"], "left_anti")
+    likely = scratch.write(likely, "likely")
+    tested = tested.unionByName(likely)
+    linked = linked.unionByName(scratch.write(verified(likely, texts, n, least), "found"))
+    comp = scratch.write(components(linked, scratch, "l"), "rejoined")
+    placed = sketched.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "sketch")
+    across = remaining_pairs(leading, placed, least, bands * rows, DEVIATIONS).join(tested, ["a", "b"], "left_anti")
+    more = scratch.write(verified(scratch.write(across, "across"), texts, n, least), "more")
     # rows of one id are one document, whatever their texts
     same_id = usable.join(nodes.select("digest", "node"), "digest").where("doc_id <> node").groupBy("doc_id").agg(
         F.min("node").alias("node"), F.max("node").alias("m")
