@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,21 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_parts(batch: pa.RecordBatch, *columns: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (``columns``) hold at most ``most_bytes``, or of a single row.
+
+    What a kernel needs at once follows from the bytes of its slice, however long single texts are.
+    """
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(sizes + 1)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def n_words(text):
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

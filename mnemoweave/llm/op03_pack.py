@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import Scratch, in_parts, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -41,6 +41,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sprea
 
 # ---- tokens -----------------------------------------------------------------
 
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Token ids of whole batches, as ``tokenizers`` gives them.
 
@@ -52,23 +59,22 @@ class Encoder:
     through ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str, ranks: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, ranks: str, special: tuple[bytes, ...] | None = None) -> None:
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             pairs = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("slices", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
         self.width = np.zeros(max(pairs.values()) + 1, dtype=np.int64)
         self.width[list(pairs.values())] = [len(x) for x in pairs]
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.path, self.tok, self.special = path, None, special_tokens(path) if special is None else special
 
     def exact(self, text: bytes) -> np.ndarray:
+        if self.tok is None:
+            self.tok = _tokenizer(self.path)
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -130,13 +136,17 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, ranks: str) -> Encoder:
+def encoder(path: str, ranks: str, special: tuple[bytes, ...]) -> Encoder:
     """One encoder for each Python worker."""
     if (path, ranks) not in _ENCODERS:
-        _ENCODERS[path, ranks] = Encoder(path, ranks)
+        _ENCODERS[path, ranks] = Encoder(path, ranks, special)
     return _ENCODERS[path, ranks]
 
 
+def special_tokens(path: str) -> tuple[bytes, ...]:
+    return tuple(t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values())
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; the first takes the remainder."""
     first = n % capacity or capacity
@@ -148,13 +158,14 @@ def tokenize(
 ) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``; ``spread`` is a row number that deals them out."""
 
+    special = special_tokens(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, row = encoder(tokenizer, ranks), TaskContext.get().partitionId() << 36
+        encode, row = encoder(tokenizer, ranks, special), TaskContext.get().partitionId() << 36
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for part in in_parts(b, 1):
                 ids, ends = encode(part.column(1))
                 out: list[tuple] = []
                 for doc, i, j in zip(part.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):

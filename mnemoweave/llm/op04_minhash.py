@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import Scratch, in_parts, table
 from ._graph import components
 from ._words import Words, mix
 
@@ -47,7 +47,6 @@ CENTRAL_ROUNDS = 1
 SKETCH_BITS, DEVIATIONS = 4, 4.0
 #: So many shingles before a leading one are looked at for an earlier meeting.
 EARLIER = 16
-_TEXTS = 1000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,8 +144,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, _TEXTS):
-                p = b.slice(at, _TEXTS)
+            for p in in_parts(b, 1):
                 w = Words(_texts(p.column(1)))
                 sig = prob_minhash(*shingles(w), p.num_rows, bands * rows)
                 keys = pa.ListArray.from_arrays(
@@ -168,8 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS // 2):
-                p = batch.slice(at, _TEXTS // 2)
+            for p in in_parts(batch, 2, 3):
                 m = p.num_rows
                 w = Words(_texts(p.column(2)) + _texts(p.column(3)))
                 of, h, weight = shingles(w, n)
@@ -186,8 +183,7 @@ def weighted_shingles(texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, _TEXTS):
-                p = b.slice(at, _TEXTS)
+            for p in in_parts(b, 1):
                 of, h, weight = shingles(Words(_texts(p.column(1))), n)
                 total = np.bincount(of, weights=weight, minlength=p.num_rows)
                 node = p.column(0).to_numpy()[of]
