@@ -32,6 +32,8 @@ from ._common import Scratch, table
 MIN_REVISIT_BYTES = 100
 MAX_FILE_BYTES = 256 << 20
 SPLIT_BYTES = 16 << 20
+#: Most tasks of one read.
+MAX_TASKS = 100_000
 READ_BYTES = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -222,7 +224,11 @@ def splits(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 
 def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the files in ``manifest(path, bytes)``; see ``RECORDS``."""
+    """The records of the files in ``manifest(path, bytes)``; see ``RECORDS``.
+
+    The manifest, a row a file, is read twice: the ranges are counted first, for
+    as many tasks, up to ``MAX_TASKS`` (a task takes several of more).
+    """
 
     schema = to_arrow_schema(_parse_datatype_string(RECORDS))
 
@@ -245,8 +251,10 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    # one range a task where there are few; a task takes several of many
-    return splits(manifest, split_bytes).repartition(F.col("path"), F.col("from")).mapInArrow(run, RECORDS)
+    # a fixed number of tasks: a list of ranges is so small that adaptive execution would merge all into one
+    ranges = splits(manifest, split_bytes)
+    tasks = max(1, min(ranges.count(), MAX_TASKS))
+    return ranges.repartition(tasks, "path", "from").mapInArrow(run, RECORDS)
 
 
 # ---- query ------------------------------------------------------------------
