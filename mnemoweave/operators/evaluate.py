@@ -8,7 +8,8 @@ from .vectors import cosine
 
 
 def raw_hit(result, wanted):
-    return F.when(F.contains(result, wanted) | F.contains(wanted, result), 1.0).otherwise(0.0)
+    """A text that lacks the first characters of the other is not searched for the rest."""
+    return F.when((prefix_hit(result, wanted) & F.contains(result, wanted)) | F.contains(wanted, result), 1.0).otherwise(0.0)
 
 
 def adaptive(recall, result):
