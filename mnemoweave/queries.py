@@ -270,13 +270,15 @@ def _unrolled() -> str:
 
 @query(f"""WITH {_EGO}{_unrolled()} SELECT query_id, id, round(x, 6) AS score FROM x{_ITER} JOIN nodes USING (id) WHERE type = 'passage' AND x > 1e-4""")
 def ppr_scores(spark, d):
+    """All passages that the solver reaches, by the operator's own iterations; the SQL
+    stops after _ITER steps and at a least score."""
     nodes, _ = S.order_graph(spark, d)
     s, stats, avg, hub = _scored(spark, d)
     s = transition.type_budgets(transition.cap_fanout(s, hub))
     dist = transition.seed_distribution(seeds(spark))
     moves = transition.transitions(s, transition.residual_parts(s, stats, hub, avg), dist, hub)
-    damp = spark.createDataFrame([(1, 0.85), (2, 0.85)], "query_id long, damping double")
-    found = ppr.ppr(moves, dist, damp, _ITER).where("score > 1e-4")
+    damp = dist.select("query_id").distinct().withColumn("damping", F.lit(0.85))
+    found = ppr.ppr(moves, dist, damp)
     return found.join(nodes.where("type = 'passage'").select("id"), "id", "left_semi").withColumns(_r("score"))
 
 

@@ -1,8 +1,12 @@
 """Registered queries over whole tables, against brute force on small ones."""
 
+import random
+
+import numpy as np
 import pytest
 
 from mnemoweave import queries
+from mnemoweave.operators import ppr, transition
 
 
 @pytest.fixture()
@@ -23,3 +27,47 @@ def test_raw_recall_judges_every_pair(spark, save):
     assert got == {
         (i, k): (float(bool(t) and (w in t or t in w)), None if t is None else w[:30] in t) for i, w in items.items() for k, t in texts.items()
     }
+
+
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+
+
+@pytest.fixture()
+def lines():
+    rng = random.Random(5)
+    return [(o, rng.randrange(40), 1, n, 1.0) for o in range(1500) for n in range(1, rng.randint(2, 5))]
+
+
+def converged(n, src, dst, weight, reset, damping):
+    move = np.zeros((n, n))
+    np.add.at(move, (src, dst), weight)
+    total = move.sum(axis=1, keepdims=True)
+    move = np.divide(move, total, out=np.zeros_like(move), where=total > 0)
+    return np.linalg.solve(np.eye(n) - damping * move.T, (1 - damping) * reset)
+
+
+def test_solve_converges():
+    rng = np.random.default_rng(1)
+    src, dst, weight = rng.integers(0, 29, 80), rng.integers(0, 30, 80), rng.random(80)
+    reset = rng.random(30) / 15
+    assert ppr.solve(src, dst, weight, reset, 0.85, 100) == pytest.approx(converged(30, src, dst, weight, reset, 0.85), abs=1e-6)
+
+
+def test_ppr_scores_are_converged_and_whole(spark, save, lines):
+    d = save("lineitem", lines, LINES)
+    save("part", [(i,) for i in range(40)], "p_partkey long")
+    got = {(r["query_id"], r["id"]): r["score"] for r in queries.ppr_scores(spark, d).collect()}
+    s, stats, avg, hub = queries._scored(spark, d)
+    s = transition.type_budgets(transition.cap_fanout(s, hub))
+    dist = transition.seed_distribution(queries.seeds(spark))
+    moves = transition.transitions(s, transition.residual_parts(s, stats, hub, avg), dist, hub).toPandas()
+    resets, want = dist.toPandas(), {}
+    for q, r in resets.groupby("query_id"):
+        e = moves[moves.query_id == q]
+        ids = np.unique(np.r_[e.source, e.target, r.id])
+        at = lambda x: np.searchsorted(ids, x.to_numpy())  # noqa: E731, B023
+        reset = np.zeros(len(ids))
+        np.add.at(reset, at(r.id), r.p.to_numpy())
+        x = converged(len(ids), at(e.source), at(e.target), e.weight.to_numpy(), reset, 0.85)
+        want |= {(q, i): y for i, y in zip(ids.tolist(), x.tolist(), strict=True) if i % 2 == 0}
+    assert len(want) > 600 and min(want.values()) < 1e-4 and got == pytest.approx(want, abs=2e-6)
