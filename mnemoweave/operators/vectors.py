@@ -8,6 +8,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+#: Queries whose rough distances, and pairs whose differences, are held at once.
+QUERY_ROWS, PAIR_ROWS = 512, 1 << 15
+
+
+def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, id, distance) of the k rows of ``y`` nearest to each of ``x``, ties by id.
+
+    Every vector that may be among them by its rough distance and a bound of the
+    rounding is measured by differences, however many are equal.
+    """
+    yy = (y * y).sum(1)
+    norm, take, found = np.sqrt(np.nanmax(yy)), min(len(y), k), []
+    for i in range(0, len(x), QUERY_ROWS):
+        part = x[i : i + QUERY_ROWS]
+        rough = yy[None, :] - 2 * part @ y.T
+        slack = 8 * (y.shape[1] + 8) * np.finfo(float).eps * (norm + np.sqrt((part * part).sum(1))) ** 2
+        limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + slack
+        row, col = np.nonzero(~(rough > limit[:, None]))
+        cuts = range(0, len(row), PAIR_ROWS)
+        exact = np.concatenate([np.sqrt(((part[row[c : c + PAIR_ROWS]] - y[col[c : c + PAIR_ROWS]]) ** 2).sum(-1)) for c in cuts])
+        order = np.lexsort((ids[col], exact, row))
+        best = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        found.append((i + row[best], ids[col[best]], exact[best]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -32,16 +56,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BL
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": float})
         x, y = (np.stack(s.embedding.to_numpy()).astype(np.float64) for s in (left, right))
-        rough = (y * y).sum(1)[None, :] - 2 * x @ y.T
-        take = min(len(y), 2 * k + 8)
-        near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(-1))
-        ids = right.key.to_numpy()[near]
-        order = np.lexsort((ids, exact), axis=1)[:, :k]
-        return pd.DataFrame({
-            "query_id": np.repeat(left.key.to_numpy(), order.shape[1]), "id": np.take_along_axis(ids, order, 1).ravel(),
-            "distance": np.take_along_axis(exact, order, 1).ravel(),
-        })
+        at, ids, distances = nearest(x, y, right.key.to_numpy(), k)
+        return pd.DataFrame({"query_id": left.key.to_numpy()[at], "id": ids, "distance": distances})
 
     found = q.unionByName(v).groupBy("a", "b").applyInPandas(run, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))

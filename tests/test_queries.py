@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from mnemoweave import queries
-from mnemoweave.operators import ppr, transition
+from mnemoweave.operators import ppr, transition, vectors
 
 
 @pytest.fixture()
@@ -71,3 +71,38 @@ def test_ppr_scores_are_converged_and_whole(spark, save, lines):
         x = converged(len(ids), at(e.source), at(e.target), e.weight.to_numpy(), reset, 0.85)
         want |= {(q, i): y for i, y in zip(ids.tolist(), x.tolist(), strict=True) if i % 2 == 0}
     assert len(want) > 600 and min(want.values()) < 1e-4 and got == pytest.approx(want, abs=2e-6)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.fixture()
+def copies():
+    """500 vectors, 30 of them equal."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(500, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[rng.choice(500, 30, replace=False)] = v[7]
+    return v
+
+
+def by_distance(v, k):
+    x = v.astype(np.float64)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    return d, [sorted(range(len(v)), key=lambda j: (d[i, j], j))[:k] for i in range(len(v))]  # noqa: B023
+
+
+def test_knn_keeps_the_lowest_ids_of_copies(spark, save, copies):
+    d = save("embeddings", [(i, x.tolist(), 0) for i, x in enumerate(copies)], VECTORS)
+    dist, near = by_distance(copies, 5)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in queries.knn_l2(spark, d).collect()}
+    assert got == {(i, r + 1): j for i, js in enumerate(near) for r, j in enumerate(js)}
+    links = {(r["source"], r["target"]) for r in queries.synonym_links(spark, d).collect()}
+    hits = {(i, j) for i, js in enumerate(near) for j in js if i != j and dist[i, j] < 1.15}
+    assert links == hits | {(j, i) for i, j in hits}
+
+
+def test_knn_across_blocks(spark, copies):
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(copies)], "id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.knn(v.withColumnRenamed("id", "query_id"), v, 5, 100).collect()}
+    assert got == {(i, r + 1): j for i, js in enumerate(by_distance(copies, 5)[1]) for r, j in enumerate(js)}
