@@ -179,19 +179,20 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
 
 
 def weighted_shingles(texts: DataFrame, n: int) -> DataFrame:
-    """(node, shingle, weight, total) of ``texts(node, text)``."""
+    """(node, part, shingle, weight, total) of ``texts(node, text)``; part tells a node's texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in in_parts(b, 1):
                 of, h, weight = shingles(Words(_texts(p.column(1))), n)
                 total = np.bincount(of, weights=weight, minlength=p.num_rows)
-                node = p.column(0).to_numpy()[of]
+                node, part = p.column(0).to_numpy()[of], p.column(2).to_numpy()[of]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (node, h.view(np.int64), weight, total[of])], names=["node", "shingle", "weight", "total"]
+                    [pa.array(x) for x in (node, part, h.view(np.int64), weight, total[of])], names=["node", "part", "shingle", "weight", "total"]
                 )
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingle long, weight double, total double")
+    rows = texts.select("node", "text", F.xxhash64("text"))
+    return rows.mapInArrow(run, "node long, part long, shingle long, weight double, total double")
 
 
 def leading_shingles(parts: DataFrame, least: float) -> DataFrame:
@@ -206,7 +207,7 @@ def leading_shingles(parts: DataFrame, least: float) -> DataFrame:
     few leading shingles before: two texts that share one of them meet there.
     """
     often = parts.groupBy("shingle").agg(F.count("*").alias("n"))
-    node = Window.partitionBy("node")
+    node = Window.partitionBy("node", "part")
     before = F.coalesce(F.sum("weight").over(node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     own = F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0.0)).over(node) / F.col("total")
     leading = parts.join(often, "shingle").withColumns({"before": before, "own": own}).where(
@@ -287,7 +288,7 @@ def near_duplicates(
     wanted = members.select("node").distinct()
     texts = scratch.write(
         docs.where("text IS NOT NULL").join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-        .select(F.col("doc_id").alias("node"), "text"), "texts",
+        .select(F.col("doc_id").alias("node"), "text").distinct(), "texts",
     )
     # first the likeliest link of each text: the bucket minimum it meets most often
     stars = members.where("node > low").groupBy("node", "low").agg(F.count("*").alias("n"))
