@@ -76,6 +76,16 @@ def synonym_links(phrases: DataFrame, vectors: DataFrame, k: int = 5, max_distan
     return hits.select(both.alias("e")).select("e.*", F.lit(1.0).alias("weight")).distinct()
 
 
+def cosine_top1(queries: DataFrame, vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, cosine): of the vectors with another id the one of largest cosine, ties by id."""
+    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("qb"))
+    q = queries.crossJoin(F.broadcast(n)).withColumn("a", F.pmod(F.xxhash64("query_id"), F.col("qb").cast("long")).cast("int"))
+    q = q.groupBy("a").agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("block"))
+    pairs = vectors.crossJoin(q).select("id", "embedding", F.inline("block")).where(F.col("id") != F.col("query_id"))
+    best = F.max_by("id", F.struct("s", -F.col("id")))
+    return pairs.withColumn("s", cosine(F.col("q"), F.col("embedding"))).groupBy("query_id").agg(best.alias("id"), F.max("s").alias("cosine"))
+
+
 def cosine(a, b):
     """Cosine of two array columns in double precision; 0 where a norm is zero."""
     zipped = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -106,3 +106,15 @@ def test_knn_across_blocks(spark, copies):
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(copies)], "id long, embedding array<float>")
     got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.knn(v.withColumnRenamed("id", "query_id"), v, 5, 100).collect()}
     assert got == {(i, r + 1): j for i, js in enumerate(by_distance(copies, 5)[1]) for r, j in enumerate(js)}
+
+
+def test_cosine_queries_grow_with_the_table(spark, save, copies):
+    d = save("embeddings", [(i, x.tolist(), 0) for i, x in enumerate(copies)], VECTORS)
+    x = copies.astype(np.float64)
+    s = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    np.fill_diagonal(s, -2)
+    got = {r["query_id"]: (r["id"], r["cosine"]) for r in queries.cosine_top1(spark, d).collect()}
+    assert sorted(got) == list(range(0, 500, 50))
+    for q, (i, c) in got.items():
+        assert c == pytest.approx(s[q].max(), abs=2e-6) and s[q, i] == pytest.approx(s[q].max(), abs=1e-9)
+        assert not (copies[:i] == copies[i]).all(axis=1)[np.arange(i) != q].any()
