@@ -187,19 +187,37 @@ _PAIRS = "pr AS (SELECT l_orderkey * 10 + l_linenumber AS pair_id, min(2 * l_par
 @query(f"""WITH {_EDGES}, {_PAIRS} SELECT pair_id, a, b, EXISTS (SELECT 1 FROM edges WHERE source = a AND target = b)
  OR EXISTS (SELECT 1 FROM edges e JOIN edges f ON e.target = f.target WHERE e.source = a AND f.source = b) AS connected FROM pr""")
 def connectivity_pairs(spark, d):
-    li = S.read(spark, d, "lineitem").where("l_linenumber = 1")
-    pairs = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id")).agg(
-        F.min(F.col("l_partkey") * 2 + 1).alias("a"), F.min(F.col("l_orderkey") * 2 + 2).alias("b")
-    )
-    return graph.connectivity(pairs, S.order_graph(spark, d)[1])
+    """Each row's part and the order after its own: a pair for each order line and part, as rows may share a line
+    number; the SQL takes line 1 and one part of it."""
+    li = S.read(spark, d, "lineitem")
+    pairs = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_partkey") * 2 + 1).alias("a"), (F.col("l_orderkey") * 2 + 2).alias("b")
+    ).distinct().withColumn("pair_id", F.struct("line", "a"))
+    found = graph.connectivity(pairs, S.order_graph(spark, d)[1])
+    return found.select(F.col("line").alias("pair_id"), "a", "b", "connected")
+
+
+def _shares(spark, d):
+    """In how many shares customers and parts are dealt to each other: the fewer of them, so that all have a partner."""
+    keys = lambda t, k: S.read(spark, d, t).agg(F.count_distinct(k).alias(t))
+    return keys("customer", "c_custkey").crossJoin(keys("part", "p_partkey")).select(F.greatest(F.lit(1), F.least("customer", "part")).alias("m"))
+
+
+def _dealt(spark, d):
+    return S.read(spark, d, "part").crossJoin(F.broadcast(_shares(spark, d))).withColumn("r", F.col("p_partkey") % F.col("m"))
 
 
 @query(f"""WITH {_EDGES}, t AS (SELECT c_custkey AS session_id, 2 * (c_custkey % 500) + 1 AS a, 2 * ((c_custkey * 7) % 500) + 1 AS b FROM customer)
 SELECT session_id, NOT EXISTS (SELECT 1 FROM edges e JOIN edges f ON e.target = f.target WHERE e.source = a AND f.source = b)
  AND NOT EXISTS (SELECT 1 FROM edges WHERE source = a AND target = b) AS drift FROM t""")
 def drift_flags(spark, d):
-    s = S.read(spark, d, "customer").selectExpr("c_custkey session_id", "array(2 * (c_custkey % 500) + 1) history", "array(2 * ((c_custkey * 7) % 500) + 1) current")
-    return graph.drift(s, S.order_graph(spark, d)[1])
+    """Sessions over all parts (the SQL's are over the first 500): each part is in the history of a customer."""
+    dealt = _dealt(spark, d).groupBy("r").agg(F.collect_set(F.col("p_partkey") * 2 + 1).alias("ids"))
+    c = S.read(spark, d, "customer").select("c_custkey").crossJoin(F.broadcast(_shares(spark, d)))
+    history = dealt.select(F.col("r").alias("h"), F.col("ids").alias("history"))
+    current = dealt.select(F.col("r").alias("c"), F.col("ids").alias("current"))
+    s = c.join(history, F.col("c_custkey") % F.col("m") == F.col("h"), "left").join(current, F.col("c_custkey") * 7 % F.col("m") == F.col("c"), "left")
+    return graph.drift(s.select(F.col("c_custkey").alias("session_id"), "history", "current"), S.order_graph(spark, d)[1])
 
 
 # ---- retrieval numerics --------------------------------------------------------
@@ -440,8 +458,10 @@ u AS (SELECT * FROM t WHERE length(term) BETWEEN 2 AND 64 AND regexp_matches(ter
 SELECT node_id, term, coalesce((SELECT min(id) FROM ph WHERE lower(name) = term),
  CASE WHEN length(term) >= 4 THEN (SELECT arg_min(id, (length(name), id)) FROM ph WHERE is_hub AND contains(lower(name), term)) END, -1) AS phrase_id FROM u""")
 def entity_links(spark, d):
+    """Terms of all parts, each dealt to a customer; the SQL's are of the first 100 parts."""
     part = S.read(spark, d, "part")
-    terms = S.read(spark, d, "customer").join(part, F.col("p_partkey") == F.col("c_custkey") % 100 + 1).select(
+    c = S.read(spark, d, "customer").crossJoin(F.broadcast(_shares(spark, d)))
+    terms = c.join(_dealt(spark, d).drop("m"), F.col("r") == F.col("c_custkey") % F.col("m")).select(
         F.col("c_custkey").alias("node_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("p_name")).otherwise(F.substring("p_name", 1, 5)).alias("term")
     )
     found = memory.link_entities(terms, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 50 == 0).alias("is_hub")))

@@ -118,3 +118,19 @@ def test_cosine_queries_grow_with_the_table(spark, save, copies):
     for q, (i, c) in got.items():
         assert c == pytest.approx(s[q].max(), abs=2e-6) and s[q, i] == pytest.approx(s[q].max(), abs=1e-9)
         assert not (copies[:i] == copies[i]).all(axis=1)[np.arange(i) != q].any()
+
+
+def test_pairs_and_terms_come_from_whole_tables(spark, save):
+    d = save("lineitem", [(1, 700, 1, 2, 1.0), (1, 701, 1, 2, 1.0), (1, 1, 1, 1, 1.0), (2, 700, 1, 3, 1.0)], LINES)
+    save("part", [(i, f"name {i}") for i in range(900)], "p_partkey long, p_name string")
+    save("customer", [(i,) for i in range(800)], "c_custkey long")
+    pairs = {(r["pair_id"], r["a"], r["b"]): r["connected"] for r in queries.connectivity_pairs(spark, d).collect()}
+    assert pairs == {(12, 1401, 4): True, (12, 1403, 4): False, (11, 3, 4): False, (23, 1401, 6): False}
+    drift = {r["session_id"]: r["drift"] for r in queries.drift_flags(spark, d).collect()}
+    at = lambda r: {i for i in range(900) if i % 800 == r % 800}
+    together = [{700, 701, 1}, {700}]
+    joined = lambda x, y: any(a in t and b in t for t in together for a in x for b in y)
+    assert drift == {c: not joined(at(c), at(7 * c)) for c in range(800)}
+    assert {r["node_id"] for r in queries.entity_links(spark, d).collect()} == set(range(800))
+    exact = {r["phrase_id"] for r in queries.entity_links(spark, d).where("node_id % 3 = 0").collect()}
+    assert exact == {i for i in range(900) if i % 800 % 3 == 0}
