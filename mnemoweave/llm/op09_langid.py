@@ -53,10 +53,12 @@ def training_sample(
     )
     # a share of the hash range that holds about four times the sample, by language, keeps
     # what the window reads bounded however many partitions there are
-    n = rows.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("rows"))
+    n = rows.select("lang", "h").distinct().groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("rows"))
     share = F.greatest(F.lit(1.0) - F.lit(4.0 * max_docs) / F.col("rows"), F.lit(0.0))
     place = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.join(F.broadcast(n), F.col("lang") == F.col("l")).where(place >= share).drop("l", "rows")
+    rows = rows.join(F.broadcast(n), F.col("lang") == F.col("l")).where(place >= share)
+    # copies are one text here and in the counts, however many there are
+    rows = rows.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     w = Window.partitionBy("lang").orderBy("h", "piece")
     kept = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_docs)
     found: dict[str, list[tuple[int, str]]] = {}

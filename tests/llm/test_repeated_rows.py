@@ -2,7 +2,9 @@
 
 import random
 
-from mnemoweave.llm import op04_minhash
+from pyspark.sql import functions as F
+
+from mnemoweave.llm import op04_minhash, op09_langid
 from mnemoweave.llm._common import Scratch
 
 
@@ -20,3 +22,11 @@ def test_minhash_of_repeated_rows(spark):
     got = op04_minhash.near_duplicates(docs, Scratch(spark, "twice"), rounds=0).collect()
     assert len(got) == 2 * len(rows)
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 10 for i, _ in rows}
+
+
+def test_langid_learns_from_copies(spark):
+    many = spark.range(30_000).select(F.lit("ein Satz, der oft kopiert ist").alias("text"), F.lit("de").alias("lang"))
+    few = spark.createDataFrame([("une phrase", "fr"), ("encore une phrase", "fr")], "text string, lang string")
+    got = op09_langid.training_sample(many.unionByName(few).unionByName(few))
+    assert got["de"].decode() == "ein satz, der oft kopiert ist"
+    assert sorted(got["fr"].decode().split("\n")) == ["encore une phrase", "une phrase"]
