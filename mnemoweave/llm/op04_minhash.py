@@ -294,8 +294,7 @@ def near_duplicates(
     stars = members.where("node > low").groupBy("node", "low").agg(F.count("*").alias("n"))
     stars = stars.groupBy(F.col("node").alias("b")).agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("a"))
     stars = scratch.write(stars.select("a", "b"), "stars")
-    linked = scratch.write(verified(stars, texts, n, least), "linked")
-    comp = scratch.write(components(linked, scratch, "c"), "joined")
+    comp = components(verified(stars, texts, n, least), scratch, "c")
     # then the texts of buckets that still hold different components
     placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
@@ -309,8 +308,7 @@ def near_duplicates(
         central = scratch.write(central, f"central{k}")
         tested = tested.unionByName(central)
         near = scratch.write(verified(central, texts, n, least), f"near{k}")
-        linked = linked.unionByName(near)
-        comp = scratch.write(components(linked, scratch, f"r{k}"), f"rejoined{k}")
+        comp = components(near, scratch, f"r{k}", comp)
         placed = open_.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
         if near.isEmpty():
             break
@@ -318,16 +316,15 @@ def near_duplicates(
     likely = remaining_pairs(leading, placed.join(sketched, "node"), least, bands * rows, 0.0).join(tested, ["a", "b"], "left_anti")
     likely = scratch.write(likely, "likely")
     tested = tested.unionByName(likely)
-    linked = linked.unionByName(scratch.write(verified(likely, texts, n, least), "found"))
-    comp = scratch.write(components(linked, scratch, "l"), "rejoined")
+    comp = components(verified(likely, texts, n, least), scratch, "l", comp)
     placed = sketched.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "sketch")
     across = remaining_pairs(leading, placed, least, bands * rows, DEVIATIONS).join(tested, ["a", "b"], "left_anti")
-    more = scratch.write(verified(scratch.write(across, "across"), texts, n, least), "more")
+    more = verified(scratch.write(across, "across"), texts, n, least)
     # rows of one id are one document, whatever their texts
     same_id = usable.join(nodes.select("digest", "node"), "digest").where("doc_id <> node").groupBy("doc_id").agg(
         F.min("node").alias("node"), F.max("node").alias("m")
     ).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    comp = components(linked.unionByName(more).unionByName(same_id), scratch, "e")
+    comp = components(more.unionByName(same_id), scratch, "e", comp)
     classes = nodes.select("digest", "node").join(comp, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("class_id")
     )
@@ -346,9 +343,23 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id."""
-    found = near_duplicates(docs, Scratch(spark, "dedup"))
+    """One document of each class stays: the one with the smallest id.
+
+    Cases: rows with a null id are all kept, as are documents with a null text;
+    of rows equal in id and text that with the least JSON of all its columns
+    stays, so reruns agree; an id's rows with different texts are one document
+    and stay or go together; extra columns of any name are carried along.
+    """
+    names = docs.columns
+    c = [f"c{i}" for i in range(len(names))]  # no name of an input's column can clash with ours
+    docs = docs.toDF(*c)
+    doc_id, text = c[names.index("doc_id")], c[names.index("text")]
+    found = near_duplicates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), Scratch(spark, "dedup"))
     dropped = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    digest = F.sha2("text", 256)
-    kept = docs.join(dropped, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_digest")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*[f"`{c}`" for c in docs.columns])
+    kept = docs.where(F.col(doc_id).isNotNull()).join(
+        dropped, (F.col(doc_id) == F.col("_id")) & (F.sha2(text, 256) == F.col("_digest")), "left_anti"
+    )
+    rest = F.struct(*[x for x in c if x not in (doc_id, text)]) if len(c) > 2 else F.struct(F.lit(0))
+    one = kept.groupBy(doc_id, text).agg(F.min_by(rest, F.to_json(rest)).alias("_r"))
+    one = one.select(*[F.col(x) if x in (doc_id, text) else F.col(f"_r.{x}").alias(x) for x in c])
+    return one.unionByName(docs.where(F.col(doc_id).isNull())).toDF(*names)
