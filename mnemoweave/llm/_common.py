@@ -71,12 +71,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_parts(batch: pa.RecordBatch, *columns: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts (``columns``) hold at most ``most_bytes``, or of a single row.
+def in_parts(batch: pa.RecordBatch, *columns: int, most_bytes: int = 1 << 20, more: np.ndarray | int = 0) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (``columns``) and ``more`` bytes a row hold at most ``most_bytes``, or of a single row.
 
     What a kernel needs at once follows from the bytes of its slice, however long single texts are.
     """
-    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    sizes = more + sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     ends = np.cumsum(sizes + 1)
     at = 0
     while at < batch.num_rows:
