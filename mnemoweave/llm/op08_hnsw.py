@@ -3,14 +3,17 @@
 Vectors of a label are dealt to shards; each shard gets a hierarchical navigable
 small-world graph, and every vector of the label queries every shard.  A beam is
 widened until it has passed below the threshold and until a sample of queries,
-compared with all of the shard, shows the wanted recall.  Pairs are verified by
+compared with all of the shard, shows the wanted recall; the sample holds vectors
+of the shard and of the label's other shards.  Pairs are verified by
 cosine in double precision and counted where they are found; only a spanning
 forest of the links leaves a task, for the union of components.
 
 Cases: a null, zero, ragged or non-finite vector, or a null label, links with
 nothing and is its own component; equal vectors are held once in a graph and
-counted each; repeated vec_ids give a row each (a null id too, with a null
-component); an empty table gives no rows; extra columns are not read.
+counted each, named by their smallest id; repeated vec_ids give a row each (a
+null id too, with a null component); a cosine of exactly the threshold links;
+vectors of any length that their label shares are compared; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,8 @@ from ._graph import components
 MIN_COSINE = 0.93
 #: A shard holds at most so many vectors, and bytes of them in double precision.
 SHARD_VECTORS, SHARD_BYTES = 50_000, 128 << 20
-QUERY_ROWS = 4096
+#: So many vectors of a label meet a shard's graph in one slot.
+QUERY_ROWS = 131_072
 M, EF_BUILD, EF_SEARCH = 12, 48, 32
 AUDIT_QUERIES, AUDIT_RECALL = 64, 0.98
 _BLOCK = 512
@@ -185,25 +190,30 @@ class Hnsw:
                 yield todo[s : s + 64][r], c
 
     def to_bytes(self) -> bytes:
+        """The links; the vectors are kept once, as they came."""
         out = io.BytesIO()
-        np.savez(out, x=self.x, entry=self.entry, **{f"l{i}": a.astype(np.int32) for i, a in enumerate(self.links)})
+        np.savez(out, entry=self.entry, **{f"l{i}": a.astype(np.int32) for i, a in enumerate(self.links)})
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Hnsw:
+    def from_bytes(cls, data: bytes, x: np.ndarray) -> Hnsw:
         with np.load(io.BytesIO(data)) as f:
             g = cls.__new__(cls)
-            g.x, g.entry, g.top = f["x"], int(f["entry"]), len(f.files) - 3
+            g.x, g.entry, g.top = np.ascontiguousarray(x, dtype=np.float32), int(f["entry"]), len(f.files) - 2
             g.links = [f[f"l{i}"] for i in range(g.top + 1)]
             return g
 
 
-def audited(graph: Hnsw, least: float, ef: int = EF_SEARCH, wanted: float = AUDIT_RECALL) -> int:
-    """The beam width at which a sample's recall, against all of the shard, is as wanted."""
+def audited(graph: Hnsw, least: float, ef: int = EF_SEARCH, wanted: float = AUDIT_RECALL, probes: np.ndarray | None = None) -> int:
+    """The beam width at which the recall of a sample of the shard's vectors, and of
+    ``probes`` from the label's other shards, against all of the shard is as wanted."""
     n = len(graph.x)
     sample = np.random.default_rng(11).choice(n, min(n, AUDIT_QUERIES), replace=False)
     q = graph.x[sample]
-    truth = {(i, j) for i, j in zip(*(a.tolist() for a in np.nonzero(q @ graph.x.T >= least)), strict=True) if sample[i] != j}
+    if probes is not None and len(probes):
+        q = np.concatenate([q, probes.astype(np.float32)])
+    own = np.concatenate([sample, np.full(len(q) - len(sample), -1)])
+    truth = {(i, j) for i, j in zip(*(a.tolist() for a in np.nonzero(q @ graph.x.T >= least)), strict=True) if own[i] != j}
     while ef < n and truth:
         found = {p for i, j in graph.near(q, least, ef) for p in zip(i.tolist(), j.tolist(), strict=True)}
         if len(truth & found) >= wanted * len(truth):
@@ -220,10 +230,9 @@ def usable(embedding):
     return F.coalesce(embedding.isNotNull() & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _unit(col) -> np.ndarray:
-    x = np.stack(col.to_numpy()).astype(np.float64)
-    scale = np.abs(x).max(axis=1, keepdims=True)
-    x = x / scale
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -250,76 +259,122 @@ class _Forest:
 
 
 def graphs(keyed: DataFrame) -> DataFrame:
-    """(label, dim, shard, ef, reps, copies, units, graph): a shard's graph, built
-    and audited once, with the ids, copies and double-precision vectors behind it."""
+    """(label, dim, shard, blocks, ef, reps, copies, vectors, graph): a shard's graph, built
+    and audited once, with the ids, copies and vectors behind it.  ``probe`` rows only audit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        x = _unit(pdf.embedding)
-        graph = Hnsw(x)
+        probes, pdf = pdf[pdf.probe], pdf[~pdf.probe].sort_values("rep")
+        if pdf.empty:
+            return pd.DataFrame({c: [] for c in ("label", "dim", "shard", "blocks", "ef", "reps", "copies", "vectors", "graph")})
+        x = np.stack(pdf.embedding.to_numpy())
+        graph = Hnsw(_unit(x))
+        others = _unit(np.stack(probes.embedding.to_numpy())) if len(probes) else None
         return pd.DataFrame({
             "label": pdf.label.iloc[:1], "dim": pdf.dim.iloc[:1], "shard": pdf.shard.iloc[:1], "blocks": pdf.blocks.iloc[:1],
-            "ef": audited(graph, MIN_COSINE - _SLACK), "reps": [pdf.rep.to_numpy(np.int64).tobytes()],
-            "copies": [pdf.copies.to_numpy(np.int64).tobytes()], "units": [x.tobytes()], "graph": [graph.to_bytes()],
+            "ef": audited(graph, MIN_COSINE - _SLACK, probes=others), "reps": [pdf.rep.to_numpy(np.int64).tobytes()],
+            "copies": [pdf.copies.to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "graph": [graph.to_bytes()],
         })
 
     return keyed.groupBy("label", "dim", "shard").applyInPandas(
-        run, "label int, dim int, shard int, blocks int, ef int, reps binary, copies binary, units binary, graph binary"
+        run, "label int, dim int, shard int, blocks int, ef int, reps binary, copies binary, vectors binary, graph binary"
     )
 
 
-def links(distinct: DataFrame, scratch: Scratch, least: float = MIN_COSINE, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
+class _Shard:
+    """A shard's index in a task, and the forest of the links found with it."""
+
+    def __init__(self, row: dict, kind: np.dtype) -> None:
+        x = np.frombuffer(row["vectors"], kind).reshape(-1, row["dim"])
+        self.unit, self.ef = _unit(x), int(row["ef"])
+        self.graph = Hnsw.from_bytes(row["graph"], self.unit)
+        self.node, self.copies = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["copies"], np.int64)
+        self.tree = _Forest()
+
+    def search(self, query: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query ids, links of each); single precision finds, double precision decides."""
+        q, n = _unit(x), np.zeros(len(query), np.int64)
+        for i, j in self.graph.near(q.astype(np.float32), least - _SLACK, self.ef):
+            for s in range(0, len(i), 65536):
+                a, b = i[s : s + 65536], j[s : s + 65536]
+                true = (np.einsum("kd,kd->k", q[a], self.unit[b]) >= least) & (query[a] != self.node[b])
+                a, b = a[true], b[true]
+                np.add.at(n, a, self.copies[b])
+                self.tree.add(query[a], self.node[b])
+        some = np.flatnonzero(n)
+        return query[some], n[some]
+
+
+def links(distinct: DataFrame, scratch: Scratch, least: float = MIN_COSINE, shard_vectors: int = SHARD_VECTORS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Rows (kind, a, b, n) from ``distinct(rep, embedding, label, copies)``.
 
     kind 0: n vectors (copies counted) link with the vector ``a`` in one shard;
-    kind 1: an edge of a spanning forest.  Graphs are built once and written;
-    a block of a label's vectors then meets each shard's graph in a task.
+    kind 1: an edge of a spanning forest.  Graphs are built once and written.
+    A slot is a shard's graph and up to about ``query_rows`` of its label's
+    vectors: in a task the graph comes first and the vectors stream past it, so
+    an index is moved once for more bytes of queries than it has itself.
     """
     counts = distinct.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
     shards = F.greatest(F.ceil(F.col("n") / shard_vectors), F.ceil(F.col("n") * F.col("dim") / (SHARD_BYTES // 8)))
     parts = counts.select(
-        "label", "dim", shards.cast("int").alias("shards"), F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("blocks")
+        "label", "dim", shards.cast("int").alias("shards"), F.ceil(F.col("n") / query_rows).cast("int").alias("blocks"),
+        F.ceil(F.col("n") / AUDIT_QUERIES).alias("every"),
     )
     h = F.xxhash64("rep")
     keyed = distinct.withColumn("dim", F.size("embedding")).join(parts, ["label", "dim"]).select(
         F.col("label").cast("int"), "dim", "rep", "embedding", "copies", "shards", "blocks",
         F.pmod(h, F.col("shards").cast("long")).cast("int").alias("shard"),
         F.pmod(F.shiftrightunsigned(h, 20), F.col("blocks").cast("long")).cast("int").alias("block"),
+        (F.pmod(F.shiftrightunsigned(h, 36), F.col("every")) == 0).alias("sampled"),
     )
-    built = scratch.write(graphs(keyed), "graphs", "none")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["label", "dim", "rep", "embedding", "copies", "blocks"]
+    probes = keyed.where("sampled AND shards > 1").withColumn("own", F.col("shard")).select(*cols, every("shards").alias("shard"), "own")
+    probes = probes.where("shard <> own").drop("own").withColumn("probe", F.lit(True))
+    built = scratch.write(graphs(keyed.select(*cols, "shard", F.lit(False).alias("probe")).unionByName(probes)), "graphs", "none")
     queries = keyed.select("label", "dim", "rep", "embedding", "block", every("shards").alias("shard"))
     indexes = built.withColumn("block", every("blocks")).drop("blocks")
-    dealt = queries.unionByName(indexes, allowMissingColumns=True)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        index, asked = pdf[pdf.graph.notna()], pdf[pdf.graph.isna()].sort_values("rep")
-        if index.empty or asked.empty:
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": []}, dtype="int64")
-        one = index.iloc[0]
-        graph, node = Hnsw.from_bytes(one.graph), np.frombuffer(one.reps, np.int64)
-        x, copies = np.frombuffer(one.units).reshape(len(node), -1), np.frombuffer(one.copies, np.int64)
-        q, query = _unit(asked.embedding), asked.rep.to_numpy(np.int64)
-        n, tree = np.zeros(len(query), np.int64), _Forest()
-        # single precision finds, double precision decides
-        for i, j in graph.near(q.astype(np.float32), least - _SLACK, int(one.ef)):
-            for s in range(0, len(i), 65536):
-                a, b = i[s : s + 65536], j[s : s + 65536]
-                true = (np.einsum("kd,kd->k", q[a], x[b]) >= least) & (query[a] != node[b])
-                a, b = a[true], b[true]
-                np.add.at(n, a, copies[b])
-                tree.add(query[a], node[b])
-        some, edges = np.flatnonzero(n), np.array(tree.edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({
-            "kind": np.r_[np.zeros(len(some), np.int64), np.ones(len(edges), np.int64)],
-            "a": np.r_[query[some], edges[:, 0]], "b": np.r_[query[some], edges[:, 1]],
-            "n": np.r_[n[some], np.zeros(len(edges), np.int64)],
-        })
-
-    return dealt.groupBy("label", "dim", "shard", "block").applyInPandas(run, "kind long, a long, b long, n long")
-
-
-def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
+    slot = ["label", "dim", "shard", "block"]
+    dealt = queries.unionByName(indexes, allowMissingColumns=True).withColumn("side", F.col("graph").isNull())
+    dealt = dealt.repartition(*slot).sortWithinPartitions(*slot, "side")
+    kind = np.dtype({"float": np.float32, "double": np.float64}[distinct.schema["embedding"].dataType.elementType.simpleString()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kind_, a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (np.full(len(a), kind_), a, b, n)], names=["kind", "a", "b", "n"])
+
+        def forest(shard):
+            edges = np.array(shard.tree.edges, np.int64).reshape(-1, 2)
+            return out(1, edges[:, 0], edges[:, 1], np.zeros(len(edges)))
+
+        at, shard = None, None
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            keys = np.stack([col[c].to_numpy(zero_copy_only=False) for c in slot], axis=1)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                key = tuple(keys[s].tolist())
+                if key != at:
+                    if shard is not None:
+                        yield forest(shard)
+                    # a slot's index is its first row; without one no vector of the label is in this shard
+                    at, shard = key, None
+                    if col["graph"][s].is_valid:
+                        shard = _Shard({c: col[c][s].as_py() for c in ("dim", "ef", "reps", "copies", "vectors", "graph")}, kind)
+                        s += 1
+                if shard is not None and s < e:
+                    query = col["rep"].slice(s, e - s).to_numpy(zero_copy_only=False).astype(np.int64)
+                    x = col["embedding"].slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
+                    a, n = shard.search(query, x, least)
+                    yield out(0, a, a, n)
+        if shard is not None:
+            yield forest(shard)
+
+    return dealt.mapInArrow(run, "kind long, a long, b long, n long")
+
+
+def near_duplicates(
+    vectors: DataFrame, least: float = MIN_COSINE, shard_vectors: int = SHARD_VECTORS, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for ``vectors(vec_id, embedding, label)``."""
     scratch = Scratch(vectors.sparkSession, "op8")
     can = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
@@ -331,7 +386,7 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard_vectors
     distinct = scratch.write(
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct"
     )
-    found = scratch.write(links(distinct, scratch, least, shard_vectors), "found")
+    found = scratch.write(links(distinct, scratch, least, shard_vectors, query_rows), "found")
     comp = components(found.where("kind = 1").select("a", "b"), scratch)
     direct = found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("others"))
     reps = (
