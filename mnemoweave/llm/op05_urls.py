@@ -1,13 +1,15 @@
 """URL filters by association rules (operator 5, native).
 
 Spark's FP-growth mines combinations of URL tokens that go with a label; rules
-pruned by support, confidence and redundancy are matched by an inverted index
-(a rule stands under its rarest token).  Fixed host/path rules come first.
+pruned by support, confidence (against the label's base rate) and redundancy are
+matched by an inverted index (a rule stands under its rarest token).  Fixed
+host/path rules come first.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no
-fixed rule and has no tokens; repeated urls are judged alike; with no labelled
-urls nothing is mined and the default verdict stands; an empty table gives no
-rows; extra columns are carried along, one named like an added column is
+fixed rule and has no tokens; repeated urls are judged alike; urls are read whole,
+however long; of rules with equal gain the one with more support decides, then the
+last by its tokens; with no labelled urls nothing is mined and the default verdict
+stands; an empty table gives no rows; extra columns are carried along, one named like an added column is
 replaced.
 """
 
@@ -17,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import Scratch, table
 
 #: (host, path, verdict); the longest host + path wins.
 RULES = (
@@ -26,9 +28,9 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
+MIN_SUPPORT, MIN_GAIN = 0.002, 0.1
 #: A combination seen in fewer labelled urls than this is no evidence at any support.
-MIN_COUNT = 20
+MIN_COUNT = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,27 +83,36 @@ def url_tokens(host, path, query, fragment):
 
 
 def mine(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT,
-    min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT,
+    labelled: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_gain: float = MIN_GAIN, min_count: int = MIN_COUNT,
 ) -> DataFrame:
-    """Rules (antecedent, verdict, confidence, support, key) from ``labelled(tokens, verdict)``.
+    """Rules (antecedent, verdict, confidence, gain, support, key) from ``labelled(tokens, verdict)``.
 
-    Pruned: below the bounds, and any rule that a rule on a subset of its tokens
-    with the same verdict and at least its confidence makes redundant.  Their
-    number is bounded by the support, not by the input.
+    A rule's gain is by how much of the rest to certainty its confidence exceeds
+    the verdict's share of all labels, so a rare verdict can have rules as well
+    as a common one.  Pruned: below the bounds, and any rule that a rule on a
+    subset of its tokens with the same verdict and at least its confidence makes
+    redundant.  Their number is bounded by the support, not by the input.
     """
     items = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
-    support = min(1.0, max(min_support, min_count / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    # one number for each verdict
+    share = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(share.values()))
+    share = {v: n / total for v, n in share.items()}
+    lowest = min((b + min_gain * (1 - b) for b in share.values()), default=1.0)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min(1.0, lowest) - 1e-9).fit(items)
+    base = F.create_map(*[F.lit(x) for v, b in (share or {"": 1.0}).items() for x in (v, float(b))])
     rules = (
         model.associationRules.where(F.element_at("consequent", 1).startswith("verdict="))
-        .where((F.col("lift") >= min_lift) & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
+        .where(~F.exists("antecedent", lambda x: x.startswith("verdict=")))
         .select(
             F.array_sort("antecedent").alias("antecedent"),
             F.regexp_replace(F.element_at("consequent", 1), "^verdict=", "").alias("verdict"),
             "confidence", "support",
         )
     )
+    rules = rules.withColumn("b", F.try_element_at(base, F.col("verdict")))
+    rules = rules.withColumn("gain", F.try_divide(F.col("confidence") - F.col("b"), 1 - F.col("b"))).where(F.col("gain") >= min_gain - 1e-12)
+    rules = scratch.write(rules.drop("b"), "mined")
     short = rules.select(F.col("antecedent").alias("a"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     shadowed = (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (
         F.size("a") < F.size("antecedent")) & (F.size(F.array_except("a", "antecedent")) == 0)
@@ -113,20 +124,20 @@ def mine(
     freq = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), "freq")
     rarest = (
         rules.withColumn("t", F.explode("antecedent")).join(freq, "t")
-        .groupBy("antecedent", "verdict", "confidence", "support")
+        .groupBy("antecedent", "verdict", "confidence", "gain", "support")
         .agg(F.min_by("t", F.struct("freq", "t")).alias("key"))
     )
-    return rarest
+    return scratch.write(rarest, "rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The strongest mined verdict of each distinct url: (url, mined, mined_rule)."""
+    """The mined verdict of most gain for each distinct url: (url, mined, mined_rule)."""
     hits = (
         urls.withColumn("key", F.explode("tokens"))
-        .join(rules.select("key", "antecedent", "verdict", "confidence", "support"), "key")
+        .join(rules.select("key", "antecedent", "verdict", "gain", "support"), "key")
         .where(F.size(F.array_except("antecedent", "tokens")) == 0)
     )
-    best = F.max(F.struct("confidence", "support", "antecedent", "verdict"))
+    best = F.max(F.struct("gain", "support", "antecedent", "verdict"))
     return hits.groupBy("url").agg(best.alias("m")).select(
         "url", F.col("m.verdict").alias("mined"), F.array_join("m.antecedent", " & ").alias("mined_rule")
     )
@@ -163,5 +174,5 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = mine(labelled_urls(pages, table(spark, sf_dir, "labels")))
+    rules = mine(labelled_urls(pages, table(spark, sf_dir, "labels")), Scratch(spark, "op5"))
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
