@@ -10,7 +10,8 @@ Cases: a null payload is empty; a null id gives a record without one, which is
 always a response; of several rows with the smallest id of an equal payload all
 are responses; a null url is an empty target; control characters in urls are
 percent-encoded; files that hold no records, or empty ones, give no rows; an
-empty table writes no archive; damaged members are skipped up to the next valid
+empty table writes no archive; a payload of any length is one record, read in one
+piece; repeated rows give a record each; damaged members are skipped up to the next valid
 one; extra columns are not read.
 """
 
@@ -122,7 +123,8 @@ def write_warc(rows: DataFrame, uri: str, max_file_bytes: int = MAX_FILE_BYTES)
             names=["path", "bytes", "records"],
         )
 
-    cols = rows.select("id", "url", F.col("payload").cast("binary"), "digest", "refers_to")
+    # in a fixed order, so that every attempt of a task writes the same bytes
+    cols = rows.select("id", "url", F.col("payload").cast("binary"), "digest", "refers_to").sortWithinPartitions("id", "digest", "url")
     return cols.mapInArrow(run, MANIFEST)
 
 
