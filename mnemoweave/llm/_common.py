@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can see; made here only if none is configured."""
+    """The folder all executors can see; made here only in local mode, if none is configured."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if sc.getCheckpointDir() is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemoweave-"))
         base = sc.getCheckpointDir()
@@ -86,10 +88,14 @@ def in_parts(batch: pa.RecordBatch, *columns: int, most_bytes: int = 1 << 20, mo
         at = upto
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., so that none can clash with ours, and {name: new name}."""
+    names = docs.columns
+    new = [f"c{i}" for i in range(len(names))]
+    return docs.toDF(*new), dict(zip(names, new, strict=True))
+
+
 def n_words(text):
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[f"`{c}`" for c in like.columns])

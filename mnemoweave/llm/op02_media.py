@@ -6,7 +6,8 @@ samples of a P6 image, 64 pixels (192 bytes) a row, in a media table in the
 shared folder, rereads the table and derives everything from the stored bytes.
 
 Cases: a null text counts as empty and is stored as one row of spaces; equal
-texts give equal values; a null or undecodable image gives null columns and its
+texts give equal values, in repeated rows too; a text of any length is one image,
+resized in blocks of rows; a null or undecodable image gives null columns and its
 ``error``; extra columns are carried along, one named like an added column is
 replaced; an empty table gives no rows.
 """

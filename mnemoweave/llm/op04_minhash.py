@@ -16,8 +16,9 @@ Every comparison computes the probability Jaccard of the whole texts.
 
 Cases: equal texts are one class from the start; a null text is a class of its
 own; a text of one to four words has one shingle of all its words; a text
-without words equals only equal texts; rows with the same id and text are
-copies; a null id has a null class and is kept; an empty table gives no rows;
+without words equals only equal texts; texts of any length are compared whole, in
+slices bounded by bytes or of a single pair; rows with the same id and text are
+copies; of a class the smallest id names it; a null id has a null class and is kept; an empty table gives no rows;
 extra columns are not read.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, in_parts, table
+from ._common import Scratch, in_parts, plain, table
 from ._graph import components
 from ._words import Words, mix
 
@@ -350,10 +351,8 @@ def stage_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stays, so reruns agree; an id's rows with different texts are one document
     and stay or go together; extra columns of any name are carried along.
     """
-    names = docs.columns
-    c = [f"c{i}" for i in range(len(names))]  # no name of an input's column can clash with ours
-    docs = docs.toDF(*c)
-    doc_id, text = c[names.index("doc_id")], c[names.index("text")]
+    docs, at = plain(docs)
+    names, c, doc_id, text = list(at), list(at.values()), at["doc_id"], at["text"]
     found = near_duplicates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), Scratch(spark, "dedup"))
     dropped = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     kept = docs.where(F.col(doc_id).isNotNull()).join(

@@ -13,7 +13,7 @@ cut is found from a histogram of 4,096 hash buckets a source and an exact look
 into one bucket, so no source is ever gathered in one task.
 
 Cases: a null text has size 0 and takes 0; a null source is a source of its own
-and sorts last; a source of size 0 has target 0; repeated rows each count and
+and sorts last; texts are counted whole, however long; a source of size 0 has target 0; repeated rows each count and
 share a cut between them; an empty table gives no rows; extra columns are
 carried along, and an input column named like an added one is replaced.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, n_words, same_columns, table
+from ._common import Scratch, n_words, plain, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -135,18 +135,23 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as rows: a document taken n times is n equal rows, 0 times none.
 
     Documents stay whole: the one at a source's cut is taken or left.
+
+    Cases: a null, empty or blank text has no words and is not taken; a null
+    source is one of its own; equal keys (repeated rows) are taken or left
+    together; extra columns of any name are carried along; an empty table gives
+    no rows.
     """
-    sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("source"), n_words(F.col("text")).alias("size"), sample_key(SEED, "doc_id").alias("key"),
-    )
+    rows, at = plain(docs)
+    sized = rows.withColumns({
+        "source": F.col(at["source"]), "size": n_words(F.col(at["text"])), "key": sample_key(SEED, at["doc_id"]),
+    })
     scratch = Scratch(spark, "mix")
-    slim = scratch.write(sized.drop("row"), "slim")
+    slim = scratch.write(sized.select("source", "size", "key"), "slim")
     plan = scratch.write(mix_plan(slim).withColumnRenamed("source", "s"), "plan")
     mixed = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
     times = F.try_divide(taken(F.col("size"), F.col("key"), partial=False), F.col("size"))
     repeated = mixed.withColumn("times", F.coalesce(times, F.lit(0)).cast("int")).where("times > 0")
-    return same_columns(repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*"), docs)
+    return repeated.select(*at.values(), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).drop("nth").toDF(*at)
 
 
 ORACLE = r"""

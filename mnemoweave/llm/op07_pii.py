@@ -7,8 +7,9 @@ format by a keyed Feistel network with cycle walking, so equal values get equal
 pseudonyms in all documents, and a pseudonym is again a valid value.
 
 Cases: a null text stays null with 0 found; an empty text is unchanged; numbers
-that fail validation are left alone; repeated rows give equal results; texts are
-scanned whole; extra columns are carried along, one named like an added column
+that fail validation are left alone; where two patterns begin at one place the one
+listed first wins; repeated rows give equal results; texts are scanned whole,
+however long; extra columns are carried along, one named like an added column
 is replaced; an empty table gives no rows.
 """
 
@@ -18,6 +19,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import plain, table
 
+#: The session setting that holds the secret key, and the public one of tests.
+KEY_SETTING = "spark.mnemoweave.pii.key"
 KEY = b"mnemoweave pseudonyms, replace in production"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -259,13 +263,33 @@ def pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
     return src.mapInArrow(run, schema)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names in ``KEY_SETTING``.
+
+    Without it pseudonyms are made under a key that anyone can read, which is
+    good for tests alone: a warning says so.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made under a public key", stacklevel=2)
+        return KEY
+    return hashlib.blake2b(key.encode(), digest_size=64).digest()
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms(docs).select("doc_id", "text", "n_pii", "pii_kinds")
+    return pseudonyms(docs, key=session_key(spark)).select("doc_id", "text", "n_pii", "pii_kinds")
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with pseudonyms in its text and its length renewed."""
-    out = pseudonyms(docs).drop("n_pii", "pii_kinds")
-    out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    """Every document, with pseudonyms in its text and, if it has ``n_chars``, its length renewed.
+
+    Cases: a null text stays null and keeps its ``n_chars``; extra columns of any
+    name are carried along; repeated rows and ties stay; an empty table gives no rows.
+    """
+    rows, at = plain(docs)
+    out = pseudonyms(rows, at["text"], session_key(spark))
+    if "n_chars" in at:
+        n = at["n_chars"]
+        out = out.withColumn(n, F.coalesce(F.length(at["text"]).cast(out.schema[n].dataType), F.col(n)))
+    return out.select(*at.values()).toDF(*at)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import plain, table
 
 UND = "und"
 #: Bounds of the training sample: documents for a language, characters of a
@@ -144,7 +144,12 @@ def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The dictionaries are learned from the documents that the op9 contract
     allows (those that aren't held out).
+
+    Cases: a null or empty text, and one without a letter, is rejected; a null id
+    or label is judged like others; ties are narrow margins and rejected; extra
+    columns of any name are carried along; repeated rows are judged alike; an
+    empty table gives no rows.
     """
-    dicts = training_sample(docs.where(~held_out()))
-    judged = identify(docs, dicts)
-    return judged.where(~F.col("rejected")).select(*[f"`{c}`" for c in docs.columns])
+    rows, at = plain(docs)
+    dicts = training_sample(rows.where(~held_out(at["doc_id"])), at["text"], at["lang"])
+    return identify(rows, dicts, at["text"]).where("NOT rejected").select(*at.values()).toDF(*at)

@@ -164,7 +164,7 @@ def test_urls(spark):
 
 def test_mined_rule(spark):
     rows = [(["host=bad", "path=x"], "block")] * 40 + [(["host=ok", "path=x"], "allow")] * 160
-    rules = op05_urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    rules = op05_urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), Scratch(spark, "r")).collect()
     assert [r["antecedent"] for r in rules if r["verdict"] == "block"] == [["host=bad"]]
 
 
