@@ -120,3 +120,8 @@ def dedup_entities(entities):
     kept = F.filter(trimmed, lambda e: F.length(e["text"]) >= 2)
     keys = F.transform(kept, lambda e: F.concat(F.lower(e["text"]), F.lit("\x00"), e["label"]))
     return F.filter(kept, lambda e, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+
+
+def as_int(x):
+    """An integer, or null for what is none."""
+    return x.try_cast("bigint")

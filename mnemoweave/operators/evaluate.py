@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import cosine
@@ -30,3 +33,23 @@ def compression(prompt, raw):
 
 def prefix_hit(result, wanted, n: int = 30):
     return F.contains(result, F.substring(wanted, 1, n))
+
+
+def means(rows: DataFrame, *metrics: str) -> DataFrame:
+    """One row: the mean of each metric, 0 where there is none."""
+    return rows.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])
+
+
+def hit_at_1(found: DataFrame, wanted: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(query_id, hit, baseline_hit) of the first answers (query_id, id) of two methods against ``wanted(query_id, target)``."""
+    rows = wanted.join(found.select("query_id", F.col("id").alias("f")), "query_id", "left")
+    rows = rows.join(baseline.select("query_id", F.col("id").alias("b")), "query_id", "left")
+    same = lambda c: F.coalesce(F.col(c) == F.col("target"), F.lit(False))
+    return rows.select("query_id", same("f").alias("hit"), same("b").alias("baseline_hit"))
+
+
+def timed(run, *args) -> tuple[object, float]:
+    """(result, seconds) of a driver-side step."""
+    began = time.perf_counter()
+    out = run(*args)
+    return out, time.perf_counter() - began

@@ -49,9 +49,9 @@ def ppr(edges: DataFrame, resets: DataFrame, dampings: DataFrame, iterations: in
 
 
 def top_passages(scores: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
-    """The best passages of each query, ranked; ties by id."""
+    """The best passages of each query, ranked; ties (to ten decimals) by id."""
     passages = nodes.where("type = 'passage'").select("id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "id"))
     return scores.join(passages, "id", "left_semi").withColumn("ppr_rank", rank).where(F.col("ppr_rank") <= k)
 
 

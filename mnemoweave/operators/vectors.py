@@ -96,3 +96,27 @@ def cosine(a, b):
 
 def similarity(distance):
     return 1.0 / (1.0 + distance)
+
+
+def mean_pool(tokens, mask):
+    """The mean of the token vectors whose mask is 1, of length 1 (zero stays zero)."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
+    n = F.greatest(F.size(kept), F.lit(1))
+    start = F.transform(tokens[0], lambda _: F.lit(0.0))
+    mean = F.aggregate(kept, start, lambda s, v: F.zip_with(s, v, lambda a, b: a + b), lambda s: F.transform(s, lambda x: x / n))
+    norm = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(mean, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+
+
+def word_vectors(tokens, word_ids):
+    """The vector of each word: that of its first sub-word; tokens without a word have a null id."""
+    first = F.filter(F.sequence(F.lit(0), F.size(word_ids) - 1), lambda i: word_ids[i].isNotNull() & (F.array_position(word_ids, word_ids[i]) == i + 1))
+    return F.transform(first, lambda i: tokens[i])
+
+
+def spans(n, max_width: int = 12):
+    """All (start, end) of at most ``max_width`` of n words, both inclusive, in order."""
+    start = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(start, lambda i: F.transform(
+        F.sequence(i, F.least(i + max_width - 1, n - 1)), lambda j: F.struct(i.alias("start"), j.alias("end"))
+    )))

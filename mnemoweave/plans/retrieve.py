@@ -7,41 +7,94 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import graph, ppr, transition
+from ..operators.vectors import similarity
 
+NOTHING_FOUND = "No matching entities found."
 
-def search(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config(), k: int = 10) -> DataFrame:
+
+def seeds_by_name(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, id, score 1): the phrases of exactly a name of ``names(query_id, name)``, lowest id first."""
+    phrases = nodes.where("type = 'phrase'").groupBy("name").agg(F.min("id").alias("id"))
+    return names.select("query_id", "name").distinct().join(phrases, "name").select("query_id", "id", F.lit(1.0).alias("score"))
+
+
+def seeds_by_distance(near: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the neighbours ``near(query_id, id, distance)`` of the queries' vectors."""
+    return near.select("query_id", "id", similarity(F.col("distance")).alias("score"))
+
+
+def merge_seeds(*seeds: DataFrame) -> DataFrame:
+    """One row a seed, with its best score."""
+    every = seeds[0]
+    for s in seeds[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def contents(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``ranked(query_id, id, ...)`` with the nodes' content as ``text``, empty if they have none."""
+    text = nodes.select("id", F.coalesce("content", F.lit("")).alias("text"))
+    return ranked.join(text, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def plan(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config(), history: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The steps of retrieval by name: hub, visited, current, moves, reset, damping, scores.
+
+    ``history(query_id, id)`` holds the phrases of a session's context, for
+    queries without drift.
+    """
+    hub = graph.hubs(edges, config.hub_percentile)
+    stats, avg = graph.node_stats(nodes, edges), graph.averages(edges)
+    start = seeds.select("query_id", "id")
+    visited = graph.ego(start if history is None else start.unionByName(history.select("query_id", "id")), edges, hub, config.ego_depth, config.node_budget)
+    typed = visited.join(nodes.select("id", "type"), "id").select("query_id", "id", "type")
+    scored = transition.typed_scores(graph.induced(visited, edges), stats, avg)
+    scored = transition.type_budgets(transition.cap_fanout(scored, hub))
+    dist = transition.seed_distribution(seeds.join(visited, ["query_id", "id"], "left_semi"), config.seed_beta, config.seed_uniform)
+    # teleports, reset and damping all follow the map from which seed hubs are taken
+    own, current = transition.seed_hubs(dist, hub), transition.suppress_hub(dist, hub, typed)
+    past = transition.history_distribution(history, visited) if history is not None else current.limit(0)
+    base = transition.first_given(current, past, transition.uniform(typed))
+    parts = transition.residual_parts(scored, stats, hub, avg, visited)
+    n = visited.groupBy("query_id").agg(F.count("*").alias("nodes"))
+    count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    sizes = n.join(count(own, "hubs"), "query_id", "left").join(count(current, "seeds"), "query_id", "left")
+    seeds_ = F.greatest(F.coalesce("seeds", F.lit(0)), F.lit(1))
+    damping = transition.damping(config.ppr_damping, F.coalesce("hubs", F.lit(0)) / seeds_, seeds_, F.col("nodes"))
+    return {
+        "hub": hub, "visited": visited, "current": current, "moves": transition.transitions(scored, parts, base, own),
+        "reset": transition.first_given(transition.reset_vector(current, past, config.history_decay), transition.uniform(typed)),
+        "damping": sizes.select("query_id", damping.alias("damping")),
+    }
+
+
+def search(
+    seeds: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config(), k: int = 10, history: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, id, score, ppr_rank) from seeds(query_id, id, score).
 
     Ego subgraph, typed scores, caps and budgets, residual transitions, reset,
     damping, PageRank, ranking; each query is a key, no step loops over queries.
     """
-    # read by several later steps each: kept, and recomputed if an executor is lost
-    hub = graph.hubs(edges, config.hub_percentile).persist()
-    stats, avg = graph.node_stats(nodes, edges).persist(), graph.averages(edges)
-    visited = graph.ego(seeds, edges, hub, config.ego_depth, config.node_budget).persist()
-    scored = transition.typed_scores(graph.induced(visited, edges), stats, avg)
-    scored = transition.type_budgets(transition.cap_fanout(scored, hub)).persist()
-    dist = transition.seed_distribution(seeds, config.seed_beta, config.seed_uniform)
-    kept = transition.suppress_hub(dist, hub)
-    parts = transition.residual_parts(scored, stats, hub, avg)
-    moves = transition.transitions(scored, parts, dist, hub)
-    n = visited.groupBy("query_id").agg(F.count("*").alias("nodes"))
-    h = dist.join(hub.where("is_hub").select("id", "is_hub"), "id", "left").groupBy("query_id").agg(
-        F.count("is_hub").alias("hubs"), F.count("*").alias("seeds")
-    )
-    d = n.join(h, "query_id").select(
-        "query_id", transition.damping(config.ppr_damping, F.col("hubs") / F.col("seeds"), F.col("seeds"), F.col("nodes")).alias("damping")
-    )
-    scores = ppr.ppr(moves, transition.normalize(kept), d, config.ppr_iterations)
-    return ppr.top_passages(scores, nodes, k)
+    p = plan(seeds, nodes, edges, config, history)
+    return ppr.top_passages(ppr.ppr(p["moves"], p["reset"], p["damping"], config.ppr_iterations), nodes, k)
 
 
-def format_results(found: DataFrame) -> DataFrame:
-    """One text a query: a block for each non-empty passage, best first."""
+def format_results(found: DataFrame, header=None) -> DataFrame:
+    """(query_id, result): ``header`` (a column, if given) and a block for each non-empty passage, best first."""
     block = F.format_string("--- [Score: %.4f] ---\n%s", "score", "text")
     rows = found.where("coalesce(text, '') <> ''").select("query_id", F.struct("ppr_rank", block.alias("t")).alias("b"))
-    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("b")).select(
-        "query_id", F.array_join(F.col("b.t"), "\n").alias("result")
+    out = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    text = F.array_join(F.col("b.t"), "\n")
+    return out.select("query_id", (text if header is None else F.concat(header, F.lit("\n\nRelevant Passages:\n\n"), text)).alias("result"))
+
+
+def header(names: int, seeds, history, decay, damping):
+    """The first line of a result."""
+    more = F.when(seeds > names, F.format_string(" (expanded to %d)", seeds)).otherwise("")
+    return F.concat(
+        F.format_string("Found %d seed entities", F.lit(names)), more,
+        F.format_string(". History context: %d entities (Decay=%s). Damping=%.3f.", history, decay.cast("string"), damping),
     )
 
 
