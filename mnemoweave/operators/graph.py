@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def keep_first(edges: DataFrame, order) -> DataFrame:
     """Repeated edges keep the weight that came first by ``order``."""
@@ -19,12 +21,6 @@ def keep_max(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.max("weight").alias("weight"))
 
 
-def get_or_create_phrases(phrases: DataFrame, existing: DataFrame) -> DataFrame:
-    """New phrase nodes: the first of each exact name that ``existing`` lacks."""
-    first = phrases.groupBy("name").agg(F.min_by(F.struct(*phrases.columns), "seq").alias("r")).select("r.*")
-    return first.join(existing.select("name"), "name", "left_anti")
-
-
 def hubs(edges: DataFrame, percentile: float = 0.99) -> DataFrame:
     """(id, degree, is_hub): the phrases of the top in-degrees.
 
@@ -99,7 +95,7 @@ def ego(seeds: DataFrame, edges: DataFrame, hub: DataFrame, depth: int = 2, budg
     hubs, with all passages next to any of them; the lowest ids up to the budget.
 
     The rank by id runs within a query; depth is a constant, so the steps are
-    unrolled joins.
+    unrolled joins, each from the frontier that the one before wrote.
     """
     hub_ids = hub.where("is_hub").select("id")
     out = edges.select(F.col("source").alias("id"), "target")
@@ -107,7 +103,7 @@ def ego(seeds: DataFrame, edges: DataFrame, hub: DataFrame, depth: int = 2, budg
     frontier = visited
     for _ in range(depth):
         reached = frontier.join(hub_ids, "id", "left_anti").join(out, "id").select("query_id", F.col("target").alias("id"))
-        frontier = reached.distinct().join(visited, ["query_id", "id"], "left_anti")
+        frontier = cut(reached.distinct().join(visited, ["query_id", "id"], "left_anti"))
         visited = visited.unionByName(frontier)
     to_passage = edges.where("dst_type = 'passage'").select(F.col("source").alias("id"), "target")
     more = visited.join(to_passage, "id").select("query_id", F.col("target").alias("id"))

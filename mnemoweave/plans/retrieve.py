@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..lineage import cut
 from ..operators import graph, ppr, transition
 from ..operators.vectors import similarity
 
@@ -43,16 +44,18 @@ def plan(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config =
     ``history(query_id, id)`` holds the phrases of a session's context, for
     queries without drift.
     """
-    hub = graph.hubs(edges, config.hub_percentile)
-    stats, avg = graph.node_stats(nodes, edges), graph.averages(edges)
+    # what several later steps read is written once
+    hub = cut(graph.hubs(edges, config.hub_percentile))
+    stats, avg = cut(graph.node_stats(nodes, edges)), cut(graph.averages(edges))
     start = seeds.select("query_id", "id")
-    visited = graph.ego(start if history is None else start.unionByName(history.select("query_id", "id")), edges, hub, config.ego_depth, config.node_budget)
+    start = start if history is None else start.unionByName(history.select("query_id", "id"))
+    visited = cut(graph.ego(start, edges, hub, config.ego_depth, config.node_budget))
     typed = visited.join(nodes.select("id", "type"), "id").select("query_id", "id", "type")
     scored = transition.typed_scores(graph.induced(visited, edges), stats, avg)
-    scored = transition.type_budgets(transition.cap_fanout(scored, hub))
-    dist = transition.seed_distribution(seeds.join(visited, ["query_id", "id"], "left_semi"), config.seed_beta, config.seed_uniform)
+    scored = cut(transition.type_budgets(transition.cap_fanout(scored, hub)))
+    dist = cut(transition.seed_distribution(seeds.join(visited, ["query_id", "id"], "left_semi"), config.seed_beta, config.seed_uniform))
     # teleports, reset and damping all follow the map from which seed hubs are taken
-    own, current = transition.seed_hubs(dist, hub), transition.suppress_hub(dist, hub, typed)
+    own, current = transition.seed_hubs(dist, hub), cut(transition.suppress_hub(dist, hub, typed))
     past = transition.history_distribution(history, visited) if history is not None else current.limit(0)
     base = transition.first_given(current, past, transition.uniform(typed))
     parts = transition.residual_parts(scored, stats, hub, avg, visited)

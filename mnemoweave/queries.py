@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import evaluate, fusion, graph, memory, ppr, sessions, transition, vectors
+from .lineage import cut
 from .plans import retrieve
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .sources import tables as S
@@ -101,21 +102,30 @@ moves AS (SELECT query_id, source, target, sum(weight) AS weight FROM (
 """
 
 
+def _graph(spark, d):
+    edges = cut(S.order_graph(spark, d)[1])
+    return S.nodes_of(edges), edges
+
+
+def _hubs(spark, d):
+    nodes, edges = _graph(spark, d)
+    return nodes, edges, cut(graph.hubs(edges))
+
+
 def _ego(spark, d):
-    nodes, edges = S.order_graph(spark, d)
-    hub = graph.hubs(edges)
-    return nodes, edges, hub, graph.ego(seeds(spark, hub), edges, hub)
+    nodes, edges, hub = _hubs(spark, d)
+    return nodes, edges, hub, cut(graph.ego(seeds(spark, hub), edges, hub))
 
 
 def _scored(spark, d):
     nodes, edges, hub, visited = _ego(spark, d)
-    stats, avg = graph.node_stats(nodes, edges), graph.averages(edges)
-    return transition.typed_scores(graph.induced(visited, edges), stats, avg), stats, avg, hub
+    stats, avg = cut(graph.node_stats(nodes, edges)), cut(graph.averages(edges))
+    return cut(transition.typed_scores(graph.induced(visited, edges), stats, avg)), stats, avg, hub
 
 
 def _plan(spark, d):
-    nodes, edges = S.order_graph(spark, d)
-    return retrieve.plan(seeds(spark, graph.hubs(edges)), nodes, edges), nodes
+    nodes, edges, hub = _hubs(spark, d)
+    return retrieve.plan(seeds(spark, hub), nodes, edges), nodes
 
 
 # ---- graph -------------------------------------------------------------------
@@ -185,8 +195,7 @@ def ego_subgraph_edges(spark, d):
 v AS (SELECT id FROM s UNION SELECT target FROM edges, s WHERE source = s.id AND dst_type = 'passage') SELECT 1::BIGINT AS query_id, id FROM v""")
 def ego_hub_stop(spark, d):
     """A hub seed is not expanded; only its passages are added."""
-    _, edges = S.order_graph(spark, d)
-    hub = graph.hubs(edges)
+    _, edges, hub = _hubs(spark, d)
     seed = hub.where("is_hub").agg(F.min("id").alias("id")).select(F.lit(1).cast("long").alias("query_id"), "id")
     return graph.ego(seed, edges, hub, budget=1_000_000)
 
@@ -272,8 +281,7 @@ def type_budgets(spark, d):
 
 @query(f"WITH {_EGO} SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM v3) t WHERE r <= 500")
 def ego_node_budget(spark, d):
-    nodes, edges = S.order_graph(spark, d)
-    hub = graph.hubs(edges)
+    _, edges, hub = _hubs(spark, d)
     return graph.ego(seeds(spark, hub), edges, hub, budget=500)
 
 
@@ -333,8 +341,8 @@ def ppr_scores(spark, d):
 @query(f"""WITH RECURSIVE {_EGO}, {_SOLVED} SELECT query_id, id, round(score, 6) AS score, r::INT AS ppr_rank FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, id) AS r FROM solved JOIN nodes USING (id) WHERE type = 'passage') t WHERE r <= 10""")
 def search_end_to_end(spark, d):
-    nodes, edges = S.order_graph(spark, d)
-    return retrieve.search(seeds(spark, graph.hubs(edges)), nodes, edges).withColumns(_r("score"))
+    nodes, edges, hub = _hubs(spark, d)
+    return retrieve.search(seeds(spark, hub), nodes, edges).withColumns(_r("score"))
 
 
 # ---- vectors -------------------------------------------------------------------

@@ -55,8 +55,12 @@ def order_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         "source", "target", "weight", F.lit("phrase").alias("src_type"), F.lit("phrase").alias("dst_type")
     )
     edges = bipartite_edges(pairs).unionByName(alike)
-    nodes = edges.select(F.col("source").alias("id"), F.col("src_type").alias("type")).distinct()
-    return nodes, edges
+    return nodes_of(edges), edges
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    """(id, type) of a graph all of whose nodes have an edge out."""
+    return edges.select(F.col("source").alias("id"), F.col("src_type").alias("type")).distinct()
 
 
 def passages(docs: DataFrame, size: int = 512, source: str = "batch") -> DataFrame:
