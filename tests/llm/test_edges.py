@@ -140,7 +140,7 @@ def test_pack_query(spark, docs, rows, save):
 
 def test_pack_over_many_islands(spark):
     rng = random.Random(9)
-    lengths = [rng.randint(1, 1023) for _ in range(3000)] + [500] * 500
+    lengths = [rng.randint(1, 1023) for _ in range(1500)] + [500] * 200
     pieces = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], op03_pack.PIECES)
     scratch = Scratch(spark, "p")
     got = op03_pack.pack(scratch.write(pieces, "pieces"), scratch, island_pieces=250).collect()
