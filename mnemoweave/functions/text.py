@@ -4,33 +4,36 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def words(text):
-    """Unicode white-space split without empty words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+def chunk_text(text: str, size: int) -> list[str]:
+    """The chunks of one text, in time linear in it: from each chunk's start its
+    end is looked up among the running lengths."""
+    parts = text.split()
+    if not parts:
+        return []
+    upto = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    out, at, before = [], 0, 0
+    while at < len(parts):
+        end = int(np.searchsorted(upto, before + size)) + 1
+        out.append(" ".join(parts[at:end]))
+        at, before = end, int(upto[min(end, len(parts)) - 1])
+    return out
 
 
 def chunks(text, size: int):
     """Greedy chunks: a word is added, and the chunk closed once its words with a
-    blank each reach ``size``; the rest is the last chunk."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def add(s, w):
-        n = s["n"] + F.length(w) + 1
-        grown = F.when(s["n"] == 0, w).otherwise(F.concat(s["open"], F.lit(" "), w))
-        full = n >= size
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(grown))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.lit("")).otherwise(grown).alias("open"),
-            F.when(full, F.lit(0)).otherwise(n).alias("n"),
-        )
-
-    end = lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-    return F.aggregate(words(text), start, add, end)
+    blank each reach ``size``; the rest is the last chunk.  Null and blank texts have none."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else chunk_text(x, size))
+
+    return cut(text)
 
 
 @F.pandas_udf(StringType())

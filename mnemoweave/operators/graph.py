@@ -24,22 +24,51 @@ def keep_max(edges: DataFrame) -> DataFrame:
 def hubs(edges: DataFrame, percentile: float = 0.99) -> DataFrame:
     """(id, degree, is_hub): the phrases of the top in-degrees.
 
-    The cut is found from counts by degree, then ids within the one degree that
-    is split, so no task ranks all phrases.
+    The flags compare each row with the last hub's (degree, id).  Its degree comes
+    from counts by degree; its id, if phrases of that degree are on both sides,
+    from ranges of their ids and the rows of one range.
     """
-    degree = edges.where("dst_type = 'phrase'").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("degree"))
+    degree = cut(edges.where("dst_type = 'phrase'").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("degree")))
     by = degree.groupBy("degree").agg(F.count("*").alias("n"))
     total = by.agg(F.sum("n").alias("total"))
     most = F.greatest(F.lit(1), (F.col("total") * (F.lit(1.0) - F.lit(percentile))).cast("long"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = by.withColumn("above", above).crossJoin(F.broadcast(total)).select(
-        "degree", (most - F.col("above")).alias("room"), "n"
-    )
-    marked = degree.join(F.broadcast(plan.where("room > 0 AND room < n").select(F.col("degree").alias("d"), F.col("room").alias("r"))), F.col("degree") == F.col("d"), "left")
-    split = marked.where("r IS NOT NULL").withColumn("k", F.row_number().over(Window.orderBy("id"))).where("k <= r").select("id")
-    all_in = degree.join(F.broadcast(plan.where("room >= n").select("degree")), "degree", "left_semi").select("id")
-    chosen = split.unionByName(all_in).withColumn("is_hub", F.lit(True))
-    return degree.join(chosen, "id", "left").select("id", "degree", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, 0))
+    # one row: the degree of the last hub, and how many of its phrases are hubs
+    last = by.withColumn("upto", upto).crossJoin(F.broadcast(total)).where(F.col("upto") >= most).orderBy("upto").select(
+        "degree", (most - F.col("upto") + F.col("n")).alias("room"), "n"
+    ).first()
+    if last is None:
+        return degree.withColumn("is_hub", F.lit(False))
+    flag = F.col("degree") >= last["degree"]
+    if last["room"] < last["n"]:
+        end = nth(degree.where(F.col("degree") == last["degree"]), "id", last["room"])
+        flag = (F.col("degree") > last["degree"]) | ((F.col("degree") == last["degree"]) & (F.col("id") <= end))
+    return degree.withColumn("is_hub", flag)
+
+
+def nth(rows: DataFrame, key: str, n: int):
+    """The ``n``-th smallest of a column without nulls: ranges of it are counted, and the rows of one are ranked."""
+    dealt = cut(rows.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    upto = F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    part = dealt.groupBy("part").agg(F.count("*").alias("m")).withColumn("upto", upto).where(F.col("upto") >= n).orderBy("part").first()
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    one = dealt.where(F.col("part") == part["part"]).withColumn("r", rank)
+    return one.where(F.col("r") == n - part["upto"] + part["m"]).first()[key]
+
+
+#: Into how many parts a group is dealt that is cut to a budget.
+PARTS = 64
+
+
+def within(rows: DataFrame, by: list[str], order: list, budget: int) -> DataFrame:
+    """``rows`` with their rank ``r`` by ``order`` (which ends in an id) in the group ``by``, those up to ``budget``.
+
+    Parts of a group are cut first, so the task that ranks it holds ``PARTS`` budgets at most.
+    """
+    first = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    keys = [F.col(c) for c in rows.columns if c not in by]
+    some = rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS))).withColumn("r", first).where(F.col("r") <= budget)
+    return some.drop("_part").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= budget)
 
 
 def integrity(nodes: DataFrame, edges: DataFrame, hub: DataFrame) -> DataFrame:
@@ -108,8 +137,7 @@ def ego(seeds: DataFrame, edges: DataFrame, hub: DataFrame, depth: int = 2, budg
     to_passage = edges.where("dst_type = 'passage'").select(F.col("source").alias("id"), "target")
     more = visited.join(to_passage, "id").select("query_id", F.col("target").alias("id"))
     every = visited.unionByName(more).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
-    return every.withColumn("r", rank).where(F.col("r") <= budget).drop("r")
+    return within(every, ["query_id"], [F.col("id")], budget).drop("r")
 
 
 def induced(visited: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,13 +148,21 @@ def induced(visited: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def connectivity(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds ``connected`` to ``pairs(pair_id, a, b)``: a -> b, or a common out-neighbour."""
+    """Adds ``connected`` to ``pairs(pair_id, a, b)``: a -> b, or a common out-neighbour.
+
+    Of each pair the end with fewer edges is expanded (a, if equal); whether the
+    other one has an edge to a neighbour is a join by both ends of an edge, which
+    also answers for a -> b.
+    """
     e = edges.select("source", "target")
-    direct = pairs.join(e, (F.col("a") == F.col("source")) & (F.col("b") == F.col("target")), "left_semi").select("pair_id")
-    of_a = pairs.join(e, F.col("a") == F.col("source")).select("pair_id", "target")
-    of_b = pairs.join(e, F.col("b") == F.col("source")).select("pair_id", "target")
-    common = of_a.join(of_b, ["pair_id", "target"], "left_semi").select("pair_id")
-    found = direct.unionByName(common).distinct().withColumn("yes", F.lit(True))
+    degree = e.groupBy("source").agg(F.count("*").alias("n"))
+    of = lambda end: degree.select(F.col("source").alias(end), F.col("n").alias(f"n_{end}"))
+    both = pairs.select("pair_id", "a", "b").join(of("a"), "a").join(of("b"), "b")
+    less = F.col("n_a") <= F.col("n_b")
+    small = both.select("pair_id", F.when(less, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("other"))
+    asked = small.join(e, "source").select("pair_id", F.col("other").alias("source"), "target")
+    asked = asked.unionByName(pairs.select("pair_id", F.col("a").alias("source"), F.col("b").alias("target")))
+    found = asked.join(e, ["source", "target"], "left_semi").select("pair_id").distinct().withColumn("yes", F.lit(True))
     return pairs.join(found, "pair_id", "left").withColumn("connected", F.coalesce("yes", F.lit(False))).drop("yes")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FANOUT, H2P, P2H, P2P, TYPE_BUDGET
+from .graph import within
 
 
 def edge_type(src, dst):
@@ -57,9 +58,8 @@ def type_budgets(scored: DataFrame, budget: dict | None = None) -> DataFrame:
     limit = F.lit(None).cast("int")
     for etype, n in limits.items():
         limit = F.when(F.col("etype") == etype, n).otherwise(limit)
-    rank = F.row_number().over(Window.partitionBy("query_id", "etype").orderBy(F.desc("score"), "source", "target"))
-    most = max(limits.values())
-    return scored.withColumn("r", rank).where((F.col("r") <= most) & (F.col("r") <= limit)).drop("r")
+    order = [F.desc("score"), F.col("source"), F.col("target")]
+    return within(scored, ["query_id", "etype"], order, max(limits.values())).where(F.col("r") <= limit).drop("r")
 
 
 def seed_distribution(seeds: DataFrame, beta: float = 3.0, uniform: float = 0.1) -> DataFrame:

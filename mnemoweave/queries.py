@@ -637,11 +637,9 @@ def _stream(spark, d, name, pick):
 
 @query(f"""WITH {_T} SELECT session_id, len(arg_max(e, turn)) AS n FROM t GROUP BY 1""")
 def streaming_sessions(spark, d):
-    from uuid import uuid4
-
     def pick(s):
         found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{3,})"), F.lit(1)))
         return state.session_contexts(s.select(F.col("conv_id").cast("string").alias("session_id"), "turn", found.alias("entities")))
 
     stream, at = _stream(spark, d, "conversations", pick)
-    return state.drain(stream, f"s{uuid4().hex}", at).select("session_id", F.size("entities").cast("long").alias("n"))
+    return state.drain(stream, "session_id", at).select("session_id", F.size("entities").cast("long").alias("n"))

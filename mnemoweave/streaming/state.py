@@ -18,14 +18,24 @@ def session_contexts(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id").agg(F.max_by("entities", "turn").alias("entities"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream to the end of what is there; returns the complete result."""
-    q = (
-        stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint).start()
-    )
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, key: str, folder: str) -> DataFrame:
+    """Runs an aggregation by ``key`` to the end of what is there; returns its result.
+
+    Each micro-batch writes the groups that it changed under ``folder``, which the
+    driver and all executors share; a batch that runs again replaces its part.
+    The last part that has a key tells its group.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True)
+    q.option("checkpointLocation", f"{folder}/log").start().awaitTermination()
+    spark, rest = stream.sparkSession, [c for c in stream.columns if c != key]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/parts")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    parts = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/parts")
+    return parts.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("m")).select(key, "m.*")
 
 
 def ingest_batches(docs: DataFrame, write, checkpoint: str):

@@ -1,5 +1,8 @@
 """Graph, transition and PageRank operators against closed-form values."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +71,59 @@ def test_fusion_values(spark):
     c = spark.createDataFrame([(1, 11, 1, float("nan")), (1, 22, 2, 1.0)], "query_id long, passage_id long, ppr_rank int, logit double")
     ranked = fusion.weighted_sum(fusion.postprocess(c)).orderBy("final_rank").collect()
     assert [r["passage_id"] for r in ranked] == [22, 11]
+
+
+@pytest.mark.parametrize("percentile", [0.99, 0.9, 0.5, 0.0])
+def test_hub_flags_split_equal_degrees(spark, percentile):
+    rng = random.Random(3)
+    rows = [(100_000 + i, t * 7919 % 1000, 1.0, "passage", "phrase") for t in range(300) for i in range(rng.choice((1, 1, 1, 2, 5)))]
+    degree = Counter(r[1] for r in rows)
+    order = sorted(degree, key=lambda i: (-degree[i], i))
+    want = set(order[: max(1, int(len(order) * (1 - percentile)))])
+    got = graph.hubs(spark.createDataFrame(rows, EDGE), percentile).collect()
+    assert {r["id"]: r["degree"] for r in got} == degree and {r["id"] for r in got if r["is_hub"]} == want
+
+
+def test_hub_flags_without_phrases(spark):
+    assert graph.hubs(spark.createDataFrame([(1, 2, 1.0, "phrase", "passage")], EDGE)).collect() == []
+
+
+def test_nth_takes_equal_values(spark):
+    values = [5] * 700 + list(range(300))
+    rows = spark.createDataFrame([(v,) for v in values], "id long")
+    assert [graph.nth(rows, "id", n) for n in (1, 6, 500, 1000)] == [sorted(values)[n - 1] for n in (1, 6, 500, 1000)]
+
+
+def test_budgets_are_those_of_one_ranking(spark):
+    rng = random.Random(4)
+    rows = [(q, i, rng.randrange(9) / 2.0) for q, n in ((1, 900), (2, 3), (3, 200)) for i in range(n)]
+    df = spark.createDataFrame(rows, "query_id long, id long, score double")
+    got = {(r["query_id"], r["r"]): r["id"] for r in graph.within(df, ["query_id"], [F.desc("score"), F.col("id")], 40).collect()}
+    want = {}
+    for q in (1, 2, 3):
+        best = sorted((-s, i) for p, i, s in rows if p == q)[:40]
+        want |= {(q, k + 1): i for k, (_, i) in enumerate(best)}
+    assert got == want
+
+
+def test_connectivity_by_brute_force(spark):
+    rng = random.Random(6)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(90)} | {(0, i) for i in range(40)}
+    pairs = [(k, rng.choice((0, rng.randrange(45))), rng.randrange(45)) for k in range(300)]
+    out = {a: {t for s, t in edges if s == a} for a in range(45)}
+    got = graph.connectivity(spark.createDataFrame(pairs, "pair_id long, a long, b long"), spark.createDataFrame(list(edges), "source long, target long"))
+    assert {r["pair_id"]: r["connected"] for r in got.collect()} == {k: b in out[a] or bool(out[a] & out[b]) for k, a, b in pairs}
+
+
+def test_steps_on_whole_graphs_reach_the_kernel(spark):
+    rng = np.random.default_rng(8)
+    src, dst = rng.integers(0, 12, 40), rng.integers(0, 12, 40)
+    weight, reset = np.ones(40), np.full(12, 1 / 12)
+    share = weight / np.bincount(src, weight, 12)[src]
+    shares = spark.createDataFrame(list(zip(src.tolist(), dst.tolist(), share.tolist(), strict=True)), "source long, target long, share double")
+    base = spark.createDataFrame([(i, 1 / 12) for i in range(12)], "id long, p double")
+    rank = base.withColumnRenamed("p", "score")
+    for _ in range(3):
+        rank = ppr.whole_graph_step(rank, shares, base, 0.85)
+    want = ppr.solve(src, dst, weight, reset, 0.85, 3)
+    assert {r["id"]: r["score"] for r in rank.collect()} == pytest.approx(dict(enumerate(want.tolist())))
