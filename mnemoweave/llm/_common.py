@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once, or a single row.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +60,18 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")  # the table replaces the shuffle files behind it
+    def write(self, df: DataFrame, name: str, compression: str = "zstd", batch_bytes: int | None = None) -> DataFrame:
+        conf, new = self.spark.conf, {_CLEANUP: "true"}  # the table replaces the shuffle files behind it
+        if batch_bytes is not None:
+            new[_BATCH] = str(batch_bytes)
+        before = {k: conf.get(k, None) for k in new}
         try:
+            for k, v in new.items():
+                conf.set(k, v)
             df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         finally:
-            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

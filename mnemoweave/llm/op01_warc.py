@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ._common import Scratch, table
+from ._common import BATCH_BYTES, Scratch, table
 
 MIN_REVISIT_BYTES = 100
 MAX_FILE_BYTES = 256 << 20
@@ -283,7 +283,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("string").alias("id"), "url", "payload", "digest", F.col("refers_to").cast("string")
     )
     scratch = Scratch(spark, "op1")
-    manifest = scratch.write(write_warc(rows, scratch.path("archives")), "manifest")
+    manifest = scratch.write(write_warc(rows, scratch.path("archives")), "manifest", batch_bytes=BATCH_BYTES)
     found = read_warc(manifest)
     response = F.col("record_type") == "response"
     return found.select(
