@@ -1,7 +1,8 @@
 """WARC archives (operator 1): writer and splittable reader.
 
-``write_warc`` lets every task write gzip archives, one member a record, under
-final names that a retried task overwrites.  ``read_warc`` plans byte ranges;
+``write_warc`` lets every attempt of a task write gzip archives of its own, one
+member a record, and lists them in its manifest rows; what an attempt that failed
+or lost a race has left is listed nowhere.  ``read_warc`` plans byte ranges;
 a task scans its range for the gzip magic, accepts a place only if a member
 there decodes to a WARC header, and then owns all records that start inside its
 range, reading the last one past the end.
@@ -77,7 +78,9 @@ def member(kind: str, target: str, payload: bytes, digest: str, fields: dict[str
 def write_warc(rows: DataFrame, uri: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Writes ``rows(id string, url, payload binary, digest, refers_to string)``.
 
-    Returns the manifest, one row a file; running it writes the archives.
+    Returns the manifest, one row a file; running it writes the archives.  Write it
+    to a table: its rows are those of the attempts that count, whose files no other
+    attempt replaces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +95,8 @@ def write_warc(rows: DataFrame, uri: str, max_file_bytes: int = MAX_FILE_BYTES)
             nonlocal out, n, size, records
             if out is not None:
                 out.close()
-                final = f"{base}/part-{task.partitionId():06d}-{n:04d}.warc.gz"
-                files.move(temp, final)  # a second attempt replaces the same name with the same bytes
+                final = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.warc.gz"
+                files.move(temp, final)
                 done.append((f"{uri}/{final.rsplit('/', 1)[1]}", size, records))
                 out, n, size, records = None, n + 1, 0, 0
 
@@ -123,8 +126,7 @@ def write_warc(rows: DataFrame, uri: str, max_file_bytes: int = MAX_FILE_BYTES)
             names=["path", "bytes", "records"],
         )
 
-    # in a fixed order, so that every attempt of a task writes the same bytes
-    cols = rows.select("id", "url", F.col("payload").cast("binary"), "digest", "refers_to").sortWithinPartitions("id", "digest", "url")
+    cols = rows.select("id", "url", F.col("payload").cast("binary"), "digest", "refers_to")
     return cols.mapInArrow(run, MANIFEST)
 
 
