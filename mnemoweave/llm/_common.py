@@ -60,10 +60,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "zstd", batch_bytes: int | None = None) -> DataFrame:
-        conf, new = self.spark.conf, {_CLEANUP: "true"}  # the table replaces the shuffle files behind it
-        if batch_bytes is not None:
-            new[_BATCH] = str(batch_bytes)
+    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        # the table replaces the shuffle files behind it
+        conf, new = self.spark.conf, {_CLEANUP: "true", _BATCH: str(BATCH_BYTES)}
         before = {k: conf.get(k, None) for k in new}
         try:
             for k, v in new.items():
