@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mnemoweave import queries
 from mnemoweave.functions.text import chunk_text, chunks
 from mnemoweave.streaming import state
 
@@ -27,6 +28,19 @@ def test_drain_of_an_empty_stream(spark, tmp_path):
     assert state.drain(state.session_contexts(turns), "session_id", f"{tmp_path}/work").collect() == []
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_sessions_of_a_table_in_one_file_or_a_folder(spark, tmp_path, files):
+    rows = [(i % 5, i, "user", f"Name{'abcdefg'[i % 7]} and {'Other' if i % 2 else 'x'}") for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.repartition(files or 1).write.parquet(f"{tmp_path}/{'d/conversations.parquet' if files else 'made'}")
+    if not files:
+        (tmp_path / "d").mkdir()
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "d/conversations.parquet")
+    df.where("conv_id = 1").write.parquet(f"{tmp_path}/d/conversations_old.parquet")
+    got = {(r["session_id"], r["n"]) for r in queries.streaming_sessions(spark, f"{tmp_path}/d").collect()}
+    assert got == {(r["session_id"], r["n"]) for r in queries.session_context(spark, f"{tmp_path}/d").collect()} and len(got) == 5
+
+
 def folded(text, size):
     out, held, n = [], [], 0
     for w in text.split():
