@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 #: Queries whose rough distances, and pairs whose differences, are held at once.
 QUERY_ROWS, PAIR_ROWS = 512, 1 << 15
+#: Norms from this to its inverse have squares that neither underflow nor overflow.
+TINY = 1e-140
 
 
 def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,12 +36,8 @@ def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.n
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest of ``vectors(id, embedding)``.
-
-    Both sides are dealt to blocks; each pair of blocks keeps its k nearest, and
-    a window keeps the best of these.  Distances are recomputed by differences.
-    """
+def in_blocks(queries: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
+    """(key, embedding, side, a, b): both sides dealt to blocks, for each pair (a, b) of a block of queries (side 0) and one of vectors."""
     n_q = queries.agg(F.count("*").alias("n")).select(F.ceil(F.col("n") / block_rows).cast("int").alias("qb"))
     n_v = vectors.agg(F.count("*").alias("n")).select(F.ceil(F.col("n") / block_rows).cast("int").alias("vb"))
     size = n_q.crossJoin(n_v)
@@ -49,7 +47,15 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BL
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = q.where("vb > 0").withColumn("a", own("qb")).withColumn("b", every("vb"))
     v = v.where("qb > 0").withColumn("b", own("vb")).withColumn("a", every("qb"))
+    return q.unionByName(v)
 
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest of ``vectors(id, embedding)``.
+
+    Both sides are dealt to blocks; each pair of blocks keeps its k nearest, and
+    a window keeps the best of these.  Distances are recomputed by differences.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
@@ -59,7 +65,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BL
         at, ids, distances = nearest(x, y, right.key.to_numpy(), k)
         return pd.DataFrame({"query_id": left.key.to_numpy()[at], "id": ids, "distance": distances})
 
-    found = q.unionByName(v).groupBy("a", "b").applyInPandas(run, "query_id long, id long, distance double")
+    found = in_blocks(queries, vectors, block_rows).groupBy("a", "b").applyInPandas(run, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -76,14 +82,88 @@ def synonym_links(phrases: DataFrame, vectors: DataFrame, k: int = 5, max_distan
     return hits.select(both.alias("e")).select("e.*", F.lit(1.0).alias("weight")).distinct()
 
 
+def most_alike(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, id, cosine) of the row of ``y`` with another id of largest cosine to each of ``x``, ties by id; none for no such row.
+
+    Products of unit vectors find which rows may be the one, but for a bound of
+    the rounding; their cosines are summed anew, component by component.  All
+    of a row that such products do not order (as with infinite components) may be.
+    """
+    with np.errstate(all="ignore"):
+        xn, yn = (np.sqrt((z * z).sum(1))[:, None] for z in (x, y))
+        xu, yu = (np.where(n > 0, z / n, 0.0) for z, n in ((x, xn), (y, yn)))
+    slack, found = 16 * (y.shape[1] + 8) * np.finfo(float).eps, []
+    plain = ((yn == 0) | (yn > TINY) & (yn < 1 / TINY))[:, 0]
+    for i in range(0, len(x), QUERY_ROWS):
+        part, ids = slice(i, i + QUERY_ROWS), x_ids[i : i + QUERY_ROWS]
+        with np.errstate(all="ignore"):
+            rough = xu[part] @ yu.T
+        lo, hi = (np.searchsorted(y_ids, ids, s) for s in ("left", "right"))
+        for r in np.flatnonzero(hi > lo):
+            rough[r, lo[r] : hi[r]] = -np.inf
+        usual = ((xn[part] == 0) | (xn[part] > TINY) & (xn[part] < 1 / TINY))[:, 0]
+        rough[:, ~plain] = np.where(rough[:, ~plain] == -np.inf, -np.inf, np.nan)
+        most = np.max(np.where(np.isnan(rough), -np.inf, rough), axis=1) if np.isnan(rough).any() else rough.max(axis=1)
+        may = ~(rough < most[:, None] - slack)
+        may[~usual] = True
+        may &= rough != -np.inf
+        row, col = np.nonzero(may)
+        if len(row) == 0:
+            continue
+        cuts = range(0, len(row), PAIR_ROWS)
+        exact = np.concatenate([cosines(x[part][row[c : c + PAIR_ROWS]], y[col[c : c + PAIR_ROWS]]) for c in cuts])
+        # as in Spark, NaN is the largest
+        order = np.lexsort((y_ids[col], -exact, ~np.isnan(exact), row))
+        best = order[np.searchsorted(row, np.unique(row))]
+        found.append((i + row[best], y_ids[col[best]], exact[best]))
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return tuple(np.concatenate(z) for z in zip(none, *found, strict=True))
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``cosine`` of each row of ``x`` and that of ``y``, summed in the same order."""
+    xy, xx, yy = (np.zeros(len(x)) for _ in range(3))
+    with np.errstate(all="ignore"):
+        for j in range(x.shape[1]):
+            a, b = x[:, j], y[:, j]
+            xy, xx, yy = xy + a * b, xx + a * a, yy + b * b
+        n = np.sqrt(xx) * np.sqrt(yy)
+        return np.where(n == 0, 0.0, xy / n)
+
+
 def cosine_top1(queries: DataFrame, vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, id, cosine): of the vectors with another id the one of largest cosine, ties by id."""
-    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("qb"))
-    q = queries.crossJoin(F.broadcast(n)).withColumn("a", F.pmod(F.xxhash64("query_id"), F.col("qb").cast("long")).cast("int"))
-    q = q.groupBy("a").agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("block"))
-    pairs = vectors.crossJoin(q).select("id", "embedding", F.inline("block")).where(F.col("id") != F.col("query_id"))
-    best = F.max_by("id", F.struct("s", -F.col("id")))
-    return pairs.withColumn("s", cosine(F.col("q"), F.col("embedding"))).groupBy("query_id").agg(best.alias("id"), F.max("s").alias("cosine"))
+    """(query_id, id, cosine): of the vectors with another id the one of largest cosine, ties by id.
+
+    A null vector, and one with a null component or of another length than the
+    query's, has cosine 0.  Each pair of blocks keeps the best of its vectors.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        out = []
+        # vectors of one length are compared as a matrix; with all others the cosine is 0
+        for n, some in left.groupby(left["size"]):
+            same, other = right[right["size"] == n], right[right["size"] != n]
+            if n >= 0 and len(same):
+                x, y = (np.stack(s.embedding.to_numpy()).astype(np.float64).reshape(len(s), -1) for s in (some, same))
+                at, ids, s = most_alike(x, y, some.key.to_numpy(), same.key.to_numpy())
+                out.append(pd.DataFrame({"query_id": some.key.to_numpy()[at], "id": ids, "cosine": s}))
+            # the lowest id, or the next if that is the query itself
+            first = (other if n >= 0 else right).key.unique()[:2]
+            for at in first:
+                asked = some.key[(some.key != at) & ((at == first[0]) | (some.key == first[0]))]
+                out.append(pd.DataFrame({"query_id": asked, "id": at, "cosine": 0.0}))
+        none = pd.DataFrame({"query_id": [], "id": [], "cosine": []}).astype({"query_id": "int64", "id": "int64", "cosine": float})
+        return pd.concat(out) if out else none
+
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    rows = in_blocks(queries, vectors, block_rows).withColumn("size", F.when(whole, F.size("embedding")).otherwise(-1))
+    rows = rows.withColumn("embedding", F.when(whole, F.col("embedding")))
+    found = rows.groupBy("a", "b").applyInPandas(run, "query_id long, id long, cosine double")
+    # NaN comes back from a worker as null
+    found = found.withColumn("cosine", F.coalesce("cosine", F.lit(float("nan"))))
+    best = F.max_by("id", F.struct("cosine", -F.col("id")))
+    return found.groupBy("query_id").agg(best.alias("id"), F.max("cosine").alias("cosine"))
 
 
 def cosine(a, b):

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemoweave import queries
 from mnemoweave.operators import ppr, vectors
@@ -132,3 +133,19 @@ def test_pairs_and_terms_come_from_whole_tables(spark, save):
     assert {r["node_id"] for r in queries.entity_links(spark, d).collect()} == set(range(800))
     exact = {r["phrase_id"] for r in queries.entity_links(spark, d).where("node_id % 3 = 0").collect()}
     assert exact == {i for i in range(900) if i % 800 % 3 == 0}
+
+
+def test_cosine_in_blocks_of_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = {i: rng.normal(size=5).tolist() for i in range(60)}
+    rows |= {i: list(rows[3]) for i in (11, 12, 40)} | {i: [0.0] * 5 for i in (20, 45)}
+    rows |= {5: [1e-30] * 5, 6: None, 7: [1.0, None, 1.0, 1.0, 1.0], 8: [1.0, 2.0], 25: [3.0, 6.0], 9: [float("inf"), 0.0, 0.0, 0.0, 0.0], 10: []}
+    v = spark.createDataFrame([(i, x) for i, x in rows.items()], "id long, embedding array<float>")
+    q = v.withColumnRenamed("id", "query_id")
+    pairs = q.withColumnRenamed("embedding", "q").crossJoin(v).where("id <> query_id").withColumn("s", vectors.cosine(F.col("q"), F.col("embedding")))
+    best = pairs.groupBy("query_id").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("id"), F.max("s").alias("s"))
+    want = {r["query_id"]: (r["id"], str(r["s"])) for r in best.collect()}
+    found = vectors.cosine_top1(q, v, 16)
+    assert len(want) == 60 and {r["query_id"]: (r["id"], str(r["cosine"])) for r in found.collect()} == want
+    # pairs are compared as blocks in workers, not as rows of a cross join
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
