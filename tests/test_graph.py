@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoweave.config import node_budget
+from mnemoweave.lineage import cut
 from mnemoweave.operators import fusion, graph, ppr, transition, vectors
+from mnemoweave.sources import tables
 
 EDGE = "source long, target long, weight double, src_type string, dst_type string"
 
@@ -127,3 +129,19 @@ def test_steps_on_whole_graphs_reach_the_kernel(spark):
         rank = ppr.whole_graph_step(rank, shares, base, 0.85)
     want = ppr.solve(src, dst, weight, reset, 0.85, 3)
     assert {r["id"]: r["score"] for r in rank.collect()} == pytest.approx(dict(enumerate(want.tolist())))
+
+
+def test_statistics_of_some_nodes_read_no_more(spark, tmp_path):
+    pairs = [(2 * (i % 90), 2 * (i * i % 31) + 1) for i in range(400)]
+    lines = [(p // 2, h // 2) for p, h in pairs]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain, (nodes, edges) = tables.order_graph(spark, str(tmp_path)), tables.order_graph(spark, str(tmp_path), cut)
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, plain[1].collect()))
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, plain[0].collect()))
+    ids = cut(spark.createDataFrame([(1, 3), (1, 8), (2, 3), (2, 999)], "query_id long, id long"))
+    some = graph.node_stats(nodes, edges, ids)
+    want = {r["id"]: tuple(r) for r in graph.node_stats(*plain).collect() if r["id"] in (3, 8)}
+    assert want and {r["id"]: tuple(r) for r in some.collect()} == want
+    # edges meet the ids before they are dealt by node, and a written frame is read by columns
+    below = [line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in line]
+    assert len(below) >= 5 and "parquet" in some._jdf.queryExecution().executedPlan().toString().lower()
