@@ -131,6 +131,18 @@ def test_steps_on_whole_graphs_reach_the_kernel(spark):
     assert {r["id"]: r["score"] for r in rank.collect()} == pytest.approx(dict(enumerate(want.tolist())))
 
 
+def test_connectivity_by_kinds_of_neighbours(spark):
+    rng = random.Random(9)
+    kind = {i: "passage" if i % 3 else "phrase" for i in range(40)} | {5: None}
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(120)} | {(0, i) for i in range(40)}
+    rows = [(s, t, 1.0, kind[s], kind[t]) for s, t in edges]
+    # one pair_id for several pairs, as rows may share a line number
+    pairs = sorted({(k // 2, rng.choice((0, rng.randrange(45))), rng.randrange(45)) for k in range(300)})
+    out = {a: {t for s, t in edges if s == a} for a in range(45)}
+    got = graph.connectivity(spark.createDataFrame(pairs, "pair_id long, a long, b long"), spark.createDataFrame(rows, EDGE))
+    assert {(r["pair_id"], r["a"], r["b"]): r["connected"] for r in got.collect()} == {p: p[2] in out[p[1]] or bool(out[p[1]] & out[p[2]]) for p in pairs}
+
+
 def test_statistics_of_some_nodes_read_no_more(spark, tmp_path):
     pairs = [(2 * (i % 90), 2 * (i * i % 31) + 1) for i in range(400)]
     lines = [(p // 2, h // 2) for p, h in pairs]
