@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of candidates in a task, about: the windows by query sort them several times, and hold what they sort.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, key: str = "query_id", task_rows: int = TASK_ROWS) -> DataFrame:
+    """``rows`` dealt to tasks by ``key``, to more of them the more rows there are; all windows by ``key`` that follow keep these tasks."""
+    return rows.repartition(max(1, -(-rows.count() // task_rows)), key)
+
+
 def dedup(candidates: DataFrame) -> DataFrame:
     """The first candidate, by ppr_rank, of each passage of a query."""
     w = Window.partitionBy("query_id", "passage_id").orderBy("ppr_rank")

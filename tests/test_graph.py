@@ -157,3 +157,9 @@ def test_statistics_of_some_nodes_read_no_more(spark, tmp_path):
     # edges meet the ids before they are dealt by node, and a written frame is read by columns
     below = [line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in line]
     assert len(below) >= 5 and "parquet" in some._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_candidates_are_dealt_to_more_tasks_as_they_grow(spark):
+    of = lambda n: fusion.dealt(spark.range(n).withColumn("query_id", F.col("id") % 50), task_rows=100)
+    assert [of(n).rdd.getNumPartitions() for n in (0, 90, 1000, 2001)] == [1, 1, 10, 21]
+    assert of(1000).count() == 1000
